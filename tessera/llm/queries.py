@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import simhash, suffix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2)
     return found.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
+
+
+@_query
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_report(_table(spark, sf_dir, "documents"), span=400)
