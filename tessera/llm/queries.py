@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import simhash, suffix
+from tessera.llm import matroska, packing, simhash, spieces, suffix
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +28,18 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_report(_table(spark, sf_dir, "documents"), span=400)
+
+
+@_query
+def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digest(_table(spark, sf_dir, "documents"), unit=64)
+
+
+@_query
+def op8_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), capacity=2048, end_id=1)
+
+
+@_query
+def op9_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spieces.round_trip(_table(spark, sf_dir, "documents"))

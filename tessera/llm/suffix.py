@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import batch, signed, text_bytes, written
 
-SPAN, REACH, GRAM, BLOCK = 400, 256, 8, 1 << 20
+SPAN, REACH, GRAM, BLOCK = 400, 256, 8, 1 << 19
 
 
 def parse(data: np.ndarray, ends: np.ndarray, span: int = SPAN, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,15 +62,15 @@ def parse(data: np.ndarray, ends: np.ndarray, span: int = SPAN, reach: int = REA
         at = max(hi, int(starts[min(np.searchsorted(last, hi), len(starts) - 1)]))
 
 
-def _slices(raw: list[bytes], most: int = 4 << 20):
-    """Ranges of raw with up to most bytes each, or one text."""
-    a = size = 0
-    for b, x in enumerate(raw):
-        if size and size + len(x) > most:
+def _slices(sizes: np.ndarray, most: int = 1 << 20):
+    """Ranges of texts with up to most bytes together, or one text."""
+    a = total = 0
+    for b, size in enumerate(sizes.tolist()):
+        if total and total + size > most:
             yield a, b
-            a, size = b, 0
-        size += len(x)
-    yield a, len(raw)
+            a, total = b, 0
+        total += size
+    yield a, len(sizes)
 
 
 def phrases(texts: DataFrame, span: int, reach: int) -> DataFrame:
@@ -80,11 +81,11 @@ def phrases(texts: DataFrame, span: int, reach: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = b.column(2).to_pylist()
+            texts, sizes = b.column(2), pc.binary_length(b.column(2)).to_numpy()
             ids, hs = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for x, y in _slices(texts):
-                raw = b"".join(texts[x:y])
-                ends = np.cumsum([len(t) for t in texts[x:y]], dtype=np.int64)
+            for x, y in _slices(sizes):
+                raw = b"".join(texts[x:y].to_pylist())
+                ends = np.cumsum(sizes[x:y], dtype=np.int64)
                 t, lo, hi = parse(np.frombuffer(raw, np.uint8), ends, span, reach)
                 doc = np.searchsorted(ends, t, "right")
                 k = np.fromiter((hash64(raw[a : a + core]) for a in t.tolist()), np.uint64, len(t)).view(np.int64)
@@ -210,7 +211,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
             i = b.schema.get_field_index("z")
-            yield b.set_column(i, b.schema.field(i), pa.array([z.compress(x) for x in b.column(i).to_pylist()], b.schema.field(i).type))
+            yield b.set_column(i, b.schema.field(i), pa.array([z.compress(x.as_py()) for x in b.column(i)], b.schema.field(i).type))
 
     rows = rows.mapInArrow(squeeze, rows.schema)
     store = rows.join(active, ["id", "h"], "left")
@@ -222,9 +223,12 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
         schema = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("copies", pa.int64()), ("pre", pa.int32()), ("raw", pa.binary()), ("large", pa.bool_())])
         for b in batches:
             out = []
-            for packed, wants in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = z.decompress(packed)
-                out += [(w["k"], w["c"], w["copies"], w["pre"], raw[w["low"] : w["low"] + w["n"] - 1 + span], w["large"]) for w in wants]
+            for packed, wants in zip(b.column(0), b.column(1)):
+                raw = z.decompress(packed.as_py())
+                out += [(w["k"], w["c"], w["copies"], w["pre"], raw[w["low"] : w["low"] + w["n"] - 1 + span], w["large"]) for w in wants.as_py()]
+                if len(out) > 2000:
+                    yield batch(schema, *zip(*out))
+                    out = []
             if out:
                 yield batch(schema, *zip(*out))
 
@@ -270,7 +274,7 @@ def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         z = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for doc, n, sha, packed, spans in zip(*(b.column(j).to_pylist() for j in range(5))):
+            for doc, n, sha, packed, spans in ([x.as_py() for x in row] for row in zip(*(b.column(j) for j in range(5)))):
                 gone = merged(spans)
                 kept = sha.hex() if packed is None else hashlib.sha256(without(z.decompress(packed), gone)).hexdigest()
                 out.append((doc, n, sum(y - x for x, y in gone), len(gone), kept))
