@@ -57,3 +57,12 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def signed(x: int) -> int:
     """An unsigned 64-bit number as Spark's bigint."""
     return x - (1 << 64) if x >> 63 else x
+
+
+def sample_ids(labels: DataFrame, label: str, most: int, where: Column | None = None) -> DataFrame:
+    """(_id, _label): at most most ids of each label value 0 and 1, those of the smallest hash. An id labelled 1 anywhere has label 1; nulls don't count."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
+    rows = rows.filter(where) if where is not None else rows
+    rows = rows.groupBy("_id").agg(F.max("_label").alias("_label"))
+    pick = [rows.filter(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(most) for k in (0, 1)]
+    return pick[0].union(pick[1])

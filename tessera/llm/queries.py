@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import matroska, packing, simhash, spieces, suffix
+from tessera.llm import matroska, packing, quality, simhash, spieces, suffix, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,15 @@ def op8_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spieces.round_trip(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_toxicity_multiple_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+@_query
+def op6_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
