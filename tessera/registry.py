@@ -33,3 +33,13 @@ def load_plans() -> None:
 
     for m in pkgutil.iter_modules(plans.__path__):
         importlib.import_module(f"{plans.__name__}.{m.name}")
+
+
+def sql_query(name: str, tables: str, text: str, oracle: str | None = None, check: bool = True) -> None:
+    """Registers a query written in SQL over the named tables. Its oracle is the same text, or another where the dialects part; check=False: none."""
+    from tessera.sources.tables import views
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return views(spark, sf_dir, *tables.split()).sql(text)
+
+    query(name, (oracle or text) if check else None)(run)
