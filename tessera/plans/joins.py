@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import intervals, rows
+from tessera.operators.lineage import scratch
 from tessera.registry import query, sql_query
 from tessera.sources.tables import table
 
@@ -140,6 +141,7 @@ def interval(spark: SparkSession, d: str) -> DataFrame:
 def bucketed(spark: SparkSession, d: str) -> DataFrame:
     """Both tables are written in buckets of the key, so that the join and the sum need no exchange."""
     for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
-        table(spark, d, name).select(key).write.mode("overwrite").bucketBy(8, key).sortBy(key).saveAsTable(f"bucketed_{name}")
+        spark.sql(f"DROP TABLE IF EXISTS bucketed_{name}")
+        table(spark, d, name).select(key).write.option("path", scratch(spark, name)).bucketBy(8, key).sortBy(key).saveAsTable(f"bucketed_{name}")
     a, b = spark.table("bucketed_lineitem").hint("merge"), spark.table("bucketed_orders")
     return a.join(b, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey").agg(F.count("*").alias("n"))
