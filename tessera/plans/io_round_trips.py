@@ -91,7 +91,7 @@ def sql_on_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s21_custom_source", "SELECT CAST(i AS BIGINT) AS id, CAST(i * i AS BIGINT) AS square FROM range(5, 20) t(i)")
 def custom_source(spark: SparkSession, d: str) -> DataFrame:
-    spark.dataSource.register(custom.Squares)
+    spark.dataSource.register(custom.squares())
     return spark.read.format("squares").option("low", 0).option("high", 20).option("parts", 3).load().filter("id >= 5")
 
 

@@ -124,7 +124,7 @@ def text_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t28_custom_receiver", "SELECT CAST(i AS BIGINT) AS id, CAST(i * i AS BIGINT) AS square FROM range(0, 12) t(i)")
 def custom_receiver(spark: SparkSession, d: str) -> DataFrame:
-    spark.dataSource.register(custom.Squares)
+    spark.dataSource.register(custom.squares())
     name = "squares_sink"
     q = spark.readStream.format("squares").option("high", 12).load().writeStream.format("memory").queryName(name).option("checkpointLocation", scratch(spark, "checkpoint")).start()
     try:
