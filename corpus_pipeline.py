@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import packing, quality, simhash, suffix, toxicity
 from tessera.llm.common import shared_dir
+from tessera.sources.shipping import ship
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each stage's rows are written and read again by the next."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import html, matroska, packing, preferences, quality, simhash, spieces, suffix, toxicity, urls
+from tessera.sources.shipping import ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def _query(f):
-    QUERIES[f.__name__] = f
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
     return f
 
 
