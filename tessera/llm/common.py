@@ -66,3 +66,10 @@ def sample_ids(labels: DataFrame, label: str, most: int, where: Column | None =
     rows = rows.groupBy("_id").agg(F.max("_label").alias("_label"))
     pick = [rows.filter(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(most) for k in (0, 1)]
     return pick[0].union(pick[1])
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """From here on the session's Arrow batches hold 1,000 rows and 8 MB at most: texts are long, and the usual 10,000 rows of them don't fit small executors."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, sample_ids, written
+from tessera.llm.common import batch, bounded_batches, sample_ids, written
 
 SENTENCE, WORD = re.compile(r"[^.!?…。！？\n]+"), re.compile(r"[^\W\d_]+")
 STEMS = (3, 4, 5, 6)
@@ -76,7 +77,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 0.3,
     bound on the tail, times strictness); rare words thus can't learn single documents by heart. The same texts give the same model.
     """
     word_id: dict[str, int] = {}
-    doc_of, sentence_of, words = [], [], []
+    doc_of, sentence_of, words = (array("i") for _ in range(3))
     doc_words: list[set[int]] = []
     for d, t in enumerate(texts):
         seen = set()
@@ -84,8 +85,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 0.3,
             found = WORD.findall(m.group().lower())
             if found:
                 ids = [word_id.setdefault(w, len(word_id)) for w in found]
-                sentence_of += [len(doc_of)] * len(ids)
-                words += ids
+                sentence_of.extend([len(doc_of)] * len(ids))
+                words.extend(ids)
                 doc_of.append(d)
                 seen.update(ids)
         doc_words.append(seen)
@@ -100,7 +101,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 0.3,
     feature_id = {f: k for k, f in enumerate(f for f, (n, t) in docs_with.items() if t / (n + t) > base and (n + t) * _divergence(t / (n + t), base) > need)}
     of = [(i, feature_id[f]) for i, fs in enumerate(own) for f in fs if f in feature_id]
     fw, ff = (np.array(x, np.int64) for x in zip(*of)) if of else (np.zeros(0, np.int64),) * 2
-    words, sentence_of, doc_of = (np.array(x, np.int64) for x in (words, sentence_of, doc_of))
+    words, sentence_of, doc_of = (np.frombuffer(x, np.int32) for x in (words, sentence_of, doc_of))
     y = np.array(toxic, bool)
     n_docs, n_words, n_features, n_sentences = len(texts), len(own), len(feature_id), len(doc_of)
     share = y.mean()
@@ -133,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, bytes_each: in
     """
     ids = sample_ids(labels, "toxic", sample, F.crc32(F.col("_id").cast("string")) % 4 != 2)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(ids), "_id")
-    rows = written(rows, "toxicity-sample")
+    rows = written(rows.groupBy("_id", "_label").agg(F.min("text").alias("text")), "toxicity-sample")  # one row of ids that repeat
     sizes = rows.select("_id", "_label", F.octet_length("text").alias("n"), F.xxhash64("_id").alias("h")).orderBy("h", "_id").limit(4 * sample).collect()
     room, take = {0: bytes_each, 1: bytes_each}, set()
     for r in sizes:
@@ -150,6 +151,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     worst_*: characters of the likeliest sentence. Texts without words (null, empty) score 0 and have no worst sentence. Null
     ids aren't held out. Ids may repeat.
     """
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_sentences", pa.int64()), ("worst_begin", pa.int64()), ("worst_end", pa.int64())])
 
@@ -172,6 +174,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def locate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(doc_id, begin, end, sentence, score): the sentences whose own chance is at least threshold."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("sentence", pa.string()), ("score", pa.float64())])
 
@@ -191,6 +194,7 @@ def locate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs without the rows whose score reaches threshold; columns as they are."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
