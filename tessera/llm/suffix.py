@@ -175,7 +175,7 @@ def _in_large_buckets(contexts: DataFrame, span: int) -> DataFrame:
     return hits
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, reach: int = REACH, bucket_most: int = 2000, every_text: bool = False) -> DataFrame:
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, reach: int = REACH, bucket_most: int = 500, every_text: bool = False) -> DataFrame:
     """(rest, n_bytes, sha, z, spans): per input row its other columns as a struct, the text's UTF-8 size, and either sha, the
     sha256 of the whole text (no phrase of it is repeated), or z, the text in zstd, with spans, the repeated byte ranges [a, b).
     every_text: z for all rows.
@@ -199,7 +199,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     place = F.struct("id", "h", "low", "pre", "n")
     entries = found.filter("mixed").groupBy("k", "c").agg(F.count("*").alias("copies"), F.min(place).alias("at"))
     entries = written(entries.select("k", "c", "copies", "at.*"), "entries")
-    large = entries.groupBy("k").count().filter(F.col("count") > bucket_most).select("k", F.lit(True).alias("large"))
+    large = written(entries.groupBy("k").count().filter(F.col("count") > bucket_most).select("k", F.lit(True).alias("large")), "large-buckets")
     wanted = entries.join(large, "k", "left").select("id", "h", F.struct("k", "c", "copies", "low", "pre", "n", F.coalesce("large", F.lit(False)).alias("large")).alias("want"))
     none = found.select("id", "h", F.lit(None).cast(wanted.schema["want"].dataType).alias("want"))
     active = wanted.union(none).groupBy("id", "h").agg(F.collect_list("want").alias("wants"))
