@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import bounded_batches, written
 
 #: Fixed value: how byte-level BPE splits text before merging.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -72,6 +72,7 @@ def byte_bpe(path: str) -> ByteBpe:
 def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and part and nth, the writing task and the piece's place
     among its pieces of this length. Documents longer than capacity are cut at its multiples."""
+    bounded_batches(df)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 
     def run(batches):

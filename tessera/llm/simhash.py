@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, signed, text_bytes, written
+from tessera.llm.common import batch, bounded_batches, signed, text_bytes, written
 from tessera.llm.graph import star_forest
 
 BITS, BYTES = 64, 8
@@ -35,6 +35,7 @@ def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, h, fp): id, 64-bit hash of the text, fingerprint as bigint, one row per input row. A null text counts as empty."""
+    bounded_batches(df)
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):

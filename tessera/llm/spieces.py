@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch
+from tessera.llm.common import batch, bounded_batches
 
 SPACE = "▁"
 
@@ -222,6 +222,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, spans_crc32): one row per input row, whole texts, null as empty; rows and ids may repeat."""
     path = path or _default()
+    bounded_batches(df)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_crc32", pa.int64())])
 
     def run(batches):

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, signed, text_bytes, written
+from tessera.llm.common import batch, bounded_batches, signed, text_bytes, written
 
 SPAN, REACH, GRAM, BLOCK = 400, 256, 8, 1 << 19
 
@@ -189,6 +189,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     4. For the rest, one occurrence of each distinct entry is fetched, and the entries' suffixes are put in order in the bucket.
     Buckets of more than bucket_most distinct entries are split by string instead, with the same result.
     """
+    bounded_batches(df)
     t = text_bytes(text_col)
     key = {"id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)).alias("id"), "h": F.xxhash64(t).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("h")}
     all_phrases = written(phrases(df.select(*key.values(), t.alias("t")).filter(F.octet_length("t") >= span), span, reach), "phrases")
