@@ -192,10 +192,11 @@ def train(urls: DataFrame, sample: int = 10_000, suffixes: int = 64) -> Trees:
 def labelled(pages: DataFrame, labels: DataFrame, sample: int = 10_000) -> DataFrame:
     """(url, bad) of the pages whose path's first number is the id of a labelled document: bad if that document's quality is 0 or it's toxic.
 
-    At most sample documents of each class are looked up.
+    At most 2 * sample documents are looked up, sampled over both classes together: the bad share, and with it what a chance
+    means, doesn't depend on the number of labels.
     """
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(1)).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), F.lit(0))
-    ids = sample_ids(labels.select("doc_id", bad.alias("bad")), "bad", sample)
+    ids = sample_ids(labels.select("doc_id", bad.alias("bad")), "bad", sample, together=True)
     number = F.expr("try_cast(nullif(regexp_extract(_path, '/([0-9]+)', 1), '') as bigint)")
     urls = pages.select("url", path(F.col("url")).alias("_path")).select("url", number.alias("_id"))
     return urls.join(F.broadcast(ids), "_id").select("url", F.col("_label").alias("bad"))

@@ -91,6 +91,17 @@ def test_labels(spark):
     assert U.train(U.labelled(pages, labels.limit(0))) == U.Trees()
 
 
+def test_share_of_a_full_sample(spark):
+    """1 of 10 is bad; a sample that holds only part of the labels has to keep this share, and so has the fitted start."""
+    pages = spark.range(4000).selectExpr("id as page_id", "concat('http://a.org/en/', id) as url")
+    labels = spark.range(4000).selectExpr("id as doc_id", "case when id % 10 = 0 then 0 else 1 end as quality", "0 as toxic")
+    rows = U.labelled(pages, labels, sample=200)
+    bad = [r.bad for r in rows.collect()]
+    assert len(bad) == 400 and 0.05 < sum(bad) / 400 < 0.15
+    assert U.train(rows).start < -1.5
+    assert U.judge(pages, [], U.train(rows)).filter("verdict = 'block'").count() == 0
+
+
 def test_features(spark):
     row = spark.createDataFrame([("https://a-b.x.com/p/q1?r=1&s=2#f",)], "url string")
     u = F.col("url")
