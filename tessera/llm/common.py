@@ -59,20 +59,30 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _labelled_ids(labels: DataFrame, label: str, where: Column | None) -> DataFrame:
+    rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
+    rows = rows.filter(where) if where is not None else rows
+    return rows.groupBy("_id").agg(F.max("_label").alias("_label"))
+
+
 def sample_ids(labels: DataFrame, label: str, most: int, where: Column | None = None, together: bool = False) -> DataFrame:
     """(_id, _label): at most most ids of each label value 0 and 1, those of the smallest hash. An id labelled 1 anywhere has label 1; nulls don't count.
 
     together: at most 2 * most ids of both values in one sample, so that their shares stay those of all labels at every size.
     """
-    rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
-    rows = rows.filter(where) if where is not None else rows
-    rows = rows.groupBy("_id").agg(F.max("_label").alias("_label"))
+    rows = _labelled_ids(labels, label, where)
     if together:
         return rows.orderBy(F.xxhash64("_id"), "_id").limit(2 * most)
     pick = [rows.filter(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(most) for k in (0, 1)]
     return pick[0].union(pick[1])
 
 
+def class_weights(labels: DataFrame, label: str, most: int, where: Column | None = None) -> dict[int, float]:
+    """How many ids each id of sample_ids() stands for, by label value: ids of the value / sampled ids of the value."""
+    rows = _labelled_ids(labels, label, where).groupBy("_label").count().collect()
+    return {r._label: r["count"] / min(r["count"], most) for r in rows}
+
+
 def bounded_batches(df: DataFrame) -> None:
     """From here on the session's Arrow batches hold 1,000 rows and 8 MB at most: texts are long, and the usual 10,000 rows of them don't fit small executors."""
     conf = df.sparkSession.conf

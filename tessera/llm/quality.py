@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, sample_ids
+from tessera.llm.common import class_weights, let, sample_ids
 
 #: What separates words, and the characters that count as symbols.
 BLANKS, SYMBOLS = r"\x20\x09-\x0D", "#*$%&|<>"
@@ -87,22 +87,22 @@ def holds(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _best_test(x: dict[str, np.ndarray], bad: np.ndarray, on: np.ndarray) -> tuple[float, Test | None]:
+def _best_test(x: dict[str, np.ndarray], bad: np.ndarray, on: np.ndarray, weight: np.ndarray) -> tuple[float, Test | None]:
     """The threshold that gains most (FOIL's gain) among the rows that the rule so far covers."""
-    p0, n0 = int((bad & on).sum()), int((~bad & on).sum())
+    p0, n0 = float(weight[bad & on].sum()), float(weight[~bad & on].sum())
     before, best = math.log2(p0 / (p0 + n0)), (0.0, None)
     for name in sorted(x):
         v = x[name][on]
         order = np.argsort(v, kind="stable")
-        v, y = v[order], bad[on][order]
+        v, y, u = v[order], bad[on][order], weight[on][order]
         cut = np.flatnonzero(v[1:] > v[:-1]) + 1
         if not len(cut):
             continue
-        p = np.cumsum(y)[cut - 1]
+        p, q = np.cumsum(u * y)[cut - 1], np.cumsum(u * ~y)[cut - 1]
         middle = (v[cut - 1] + v[cut]) / 2
         for above in (False, True):
             pos = p0 - p if above else p
-            neg = n0 - (cut - p) if above else cut - p
+            neg = np.maximum(n0 - q, 0.0) if above else q
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = np.where(pos > 0, pos * (np.log2(pos / (pos + neg)) - before), -1.0)
             k = int(gain.argmax())
@@ -111,22 +111,26 @@ def _best_test(x: dict[str, np.ndarray], bad: np.ndarray, on: np.ndarray) -> tup
     return best
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, rules: int = 8, tests: int = 4, precision: float = 0.9, least: int = 10) -> list[Rule]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, rules: int = 8, tests: int = 4, precision: float = 0.9, least: int = 10, weight: np.ndarray | None = None) -> list[Rule]:
     """An ordered list of rules for bad rows by sequential covering.
 
+    weight: how many labelled rows each row stands for (1 without it). Gain, worth and precision are of weights, so they are those of all
+    labels even where the classes were sampled at different rates; least counts rows.
+
     Each rule is grown test by test on two thirds of the rows left until it covers no good row, then its last tests are cut
     off while that doesn't worsen (p - n) / (p + n) on the other third. It joins the list if it covers least bad rows, at a
     precision of at least precision on the whole sample left and on the third; what it covers is taken out. The rows of each
     split are chosen by their place, so the result doesn't depend on chance.
     """
     n, out = len(bad), []
+    weight = np.ones(n) if weight is None else weight
     left = np.ones(n, bool)
     grow = np.arange(n) % 3 != 2
     while len(out) < rules and (bad & left).sum() >= least:
         rule: Rule = ()
         on = grow & left
         while len(rule) < tests and (bad & on).any() and (~bad & on).any():
-            _, t = _best_test(x, bad, on)
+            _, t = _best_test(x, bad, on, weight)
             if t is None:
                 break
             rule = (*rule, t)
@@ -134,13 +138,13 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, rules: int = 8, tests: int
 
         def worth(r: Rule) -> float:
             c = holds(r, x, n) & left & ~grow
-            p, q = int((bad & c).sum()), int((~bad & c).sum())
+            p, q = float(weight[bad & c].sum()), float(weight[~bad & c].sum())
             return (p - q) / (p + q) if p + q else -1.0
 
         rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth, default=())
         c = holds(rule, x, n) & left
-        p, q = int((bad & c).sum()), int((~bad & c).sum())
-        if not rule or p < least or p < precision * (p + q) or worth(rule) < 2 * precision - 1:
+        p, q = float(weight[bad & c].sum()), float(weight[~bad & c].sum())
+        if not rule or int((bad & c).sum()) < least or p < precision * (p + q) or worth(rule) < 2 * precision - 1:
             break
         out.append(rule)
         left &= ~c
@@ -159,14 +163,15 @@ def verdict(rules: list[Rule]) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> list[Rule]:
     """Rules from labels (doc_id, quality): 0 is bad. At most sample labelled documents of each class, those of smallest hash, reach the driver,
-    as five numbers each. Labels that are null, or of documents that aren't there, don't count; without labels there are no rules."""
+    as five numbers each; each counts with the number of labels of its class for one that was sampled. Labels that are null, or of documents that aren't there, don't count; without labels there are no rules."""
     ids = sample_ids(labels, "quality", sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(ids), "_id")
     rows = rows.select("_id", "_label", statistics(F.col("text")).alias("s")).select("_id", "_label", "s.*").filter("n_words > 0")
     rows = rows.select("_id", "_label", *[F.expr(e).alias(f) for f, e in FEATURES.items()])
     got = sorted(map(tuple, rows.limit(4 * sample).collect()))
     x = {f: np.array([r[2 + k] for r in got], float) for k, f in enumerate(FEATURES)}
-    return learn(x, np.array([r[1] == 0 for r in got], bool))
+    stands_for = class_weights(labels, "quality", sample)
+    return learn(x, np.array([r[1] == 0 for r in got], bool), weight=np.array([stands_for[r[1]] for r in got], float))
 
 
 def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
