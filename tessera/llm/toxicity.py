@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, bounded_batches, sample_ids, written
+from tessera.llm.common import batch, bounded_batches, class_weights, sample_ids, written
 
 SENTENCE, WORD = re.compile(r"[^.!?…。！？\n]+"), re.compile(r"[^\W\d_]+")
 STEMS = (3, 4, 5, 6)
@@ -68,13 +68,17 @@ def _divergence(p: float, q: float) -> float:
     return p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0.0)
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 0.3, ridge: float = 0.1, strictness: float = 0.7) -> Model:
+def fit(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 0.3, ridge: float = 0.1, strictness: float = 0.7, weight: list[float] | None = None) -> Model:
     """Weights by full-batch Adam on the noisy-or likelihood of the document labels.
 
     A sentence's logit is the bias and the weights of its words' features. A clean document pushes every sentence down; a
     toxic one pushes up the sentences that are already likeliest, which is how the labels find their place. Only features
     are used whose share of toxic documents is above the sample's by more than chance explains among so many features (Chernoff's
     bound on the tail, times strictness); rare words thus can't learn single documents by heart. The same texts give the same model.
+
+    weight: how many labelled documents each text stands for (1 without it). Likelihood, bias and starting share are of weights, so that
+    a score means the same at whatever rates the classes were sampled. The choice of features counts texts and compares with their own
+    share: whether a feature depends on the label at all doesn't depend on these rates.
     """
     word_id: dict[str, int] = {}
     doc_of, sentence_of, words = (array("i") for _ in range(3))
@@ -104,14 +108,15 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 0.3,
     words, sentence_of, doc_of = (np.frombuffer(x, np.int32) for x in (words, sentence_of, doc_of))
     y = np.array(toxic, bool)
     n_docs, n_words, n_features, n_sentences = len(texts), len(own), len(feature_id), len(doc_of)
-    share = y.mean()
-    w, b = np.zeros(n_features), math.log(share / max(1.0, n_sentences / n_docs))
+    of_doc = np.ones(n_docs) if weight is None else np.array(weight, float) * (n_docs / sum(weight))
+    share, per_doc = float(of_doc[y].sum()) / n_docs, float(of_doc[doc_of].sum()) / n_docs
+    w, b = np.zeros(n_features), math.log(share / max(1.0, per_doc))
     m1, m2 = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for r in range(1, rounds + 1):
         z = b + np.bincount(sentence_of, np.bincount(fw, w[ff], n_words)[words], n_sentences)
         p, soft = 1 / (1 + np.exp(-np.clip(z, -60, 60))), np.logaddexp(0, z)
         a = np.maximum(np.bincount(doc_of, soft, n_docs), 1e-12)
-        push = np.where(y, -1 / np.expm1(np.minimum(a, 50.0)), 1.0)
+        push = of_doc * np.where(y, -1 / np.expm1(np.minimum(a, 50.0)), 1.0)
         g = push[doc_of] * p
         grad = np.r_[np.bincount(ff, np.bincount(words, g[sentence_of], n_words)[fw], n_features) + ridge * w, g.sum()] / n_docs
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
@@ -130,19 +135,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, bytes_each: in
     """A model from labels (doc_id, toxic) of documents outside fold 2.
 
     The driver gets at most sample documents of each class, those of smallest hash, and of these, in that order, at most
-    bytes_each bytes of text of each class (one document more at most). Null labels don't count.
+    bytes_each bytes of text of each class (one document more at most). Each counts with the number of labelled documents of its
+    class for one that was taken. Null labels don't count.
     """
-    ids = sample_ids(labels, "toxic", sample, F.crc32(F.col("_id").cast("string")) % 4 != 2)
+    trained = F.crc32(F.col("_id").cast("string")) % 4 != 2
+    ids = sample_ids(labels, "toxic", sample, trained)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(ids), "_id")
     rows = written(rows.groupBy("_id", "_label").agg(F.min("text").alias("text")), "toxicity-sample")  # one row of ids that repeat
     sizes = rows.select("_id", "_label", F.octet_length("text").alias("n"), F.xxhash64("_id").alias("h")).orderBy("h", "_id").limit(4 * sample).collect()
-    room, take = {0: bytes_each, 1: bytes_each}, set()
+    room, take, seen, taken = {0: bytes_each, 1: bytes_each}, set(), {0: 0, 1: 0}, {0: 0, 1: 0}
     for r in sizes:
+        seen[r._label] += 1
         if room[r._label] > 0:
             room[r._label] -= r.n
             take.add(r._id)
+            taken[r._label] += 1
+    stands_for = {k: x * seen[k] / taken[k] for k, x in class_weights(labels, "toxic", sample, trained).items() if taken[k]}
     got = sorted((r._id, r.text, r._label) for r in rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(take)], "_id long")), "_id").collect())
-    return fit([r[1] for r in got], [r[2] for r in got])
+    return fit([r[1] for r in got], [r[2] for r in got], weight=[stands_for[r[2]] for r in got])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -66,3 +66,27 @@ def test_frames(spark):
     found = T.locate(docs, m).filter("doc_id < 800").collect()
     assert found and all(any(w in r.sentence for w in INSULTS) for r in found)
     assert T.score(docs.limit(0), T.train(docs.limit(0), labels)).count() == 0
+
+
+def test_weights_undo_the_sampling():
+    """Every 10th document is toxic. Half of the clean ones' hints are weak, so the prior decides: a weighted even sample has to give the whole table's bias."""
+    rng = random.Random(9)
+    y = [int(i % 10 == 0) for i in range(6000)]
+    texts = [" ".join(rng.choices(PLAIN, k=8) + ["hint"] * (rng.random() < (0.6 if t else 0.05))) for t in y]
+    whole = T.fit(texts, y)
+    some = [i for i, t in enumerate(y) if t or i % 90 < 10]  # all toxic documents, one clean one of 9
+    share = [1.0 if y[i] else (len(y) - sum(y)) / (len(some) - sum(y)) for i in some]
+    even, weighted = T.fit([texts[i] for i in some], [y[i] for i in some]), T.fit([texts[i] for i in some], [y[i] for i in some], weight=share)
+    assert even.bias - whole.bias > 1 and abs(weighted.bias - whole.bias) < 0.35
+    assert T.fit(texts, y, weight=[4.0] * len(y)).bias == pytest.approx(whole.bias, abs=1e-6)
+
+
+def test_full_samples_keep_the_prior(spark):
+    """One document of 10 is toxic; samples and bytes that hold only part of the labels give about the same chance to a text without any evidence."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(PLAIN, k=8) + ["grumbo"] * (i % 10 == 0 and rng.random() < 0.6)), int(i % 10 == 0)) for i in range(4000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    whole = T.train(docs, labels)
+    for m in (T.train(docs, labels, sample=250), T.train(docs, labels, bytes_each=12_000)):
+        assert abs(m.bias - whole.bias) < 0.6
