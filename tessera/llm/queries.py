@@ -36,7 +36,7 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.removal_report(_table(spark, sf_dir, "documents"), span=400)
+    return suffix.removal_report(_table(spark, sf_dir, "documents"), bytes_of=suffix.byte_strings(400))
 
 
 @_query

@@ -1,29 +1,97 @@
-"""Removal of long repeated byte strings by prefix-free parsing."""
+"""Removal of long repeated strings, of bytes or of words, by prefix-free parsing."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, bounded_batches, signed, text_bytes, written
+from tessera.llm.common import batch, bounded_batches, text_bytes, written
 
-SPAN, REACH, GRAM, BLOCK = 400, 256, 8, 1 << 19
+GRAM, BLOCK = 8, 1 << 19
+#: Fixed value: the bytes that separate words.
+SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def parse(data: np.ndarray, ends: np.ndarray, span: int = SPAN, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix-free parse of documents that lie end to end in data: arrays (trigger, low, high), one row per phrase.
+@dataclass(frozen=True)
+class Measure:
+    """Strings of span symbols (bytes or words). Each has its trigger in its first reach symbols; strides: how finely strings that share a
+    bucket are told apart, in steps, the last of them 1."""
 
-    A rolling hash of 8 bytes is taken at each byte. The trigger of a string of span bytes is the smallest hash (the first of
-    equals) in its first reach bytes, so it depends on the string alone: equal strings have their triggers at equal places,
-    and no phrase is longer than reach. Row: all strings that start at low..high have their trigger at trigger. Every start
-    of a string that fits in its document is in exactly one row.
+    kind: str
+    span: int
+    reach: int
+    strides: tuple[int, ...]
+
+    @property
+    def width(self) -> int:
+        return 1 if self.kind == "byte" else 8
+
+    @property
+    def least_bytes(self) -> int:
+        return self.span if self.kind == "byte" else 2 * self.span - 1
+
+
+def byte_strings(span: int = 400, reach: int = 256, strides: tuple[int, ...] = (16, 1)) -> Measure:
+    return Measure("byte", span, reach, strides)
+
+
+def word_strings(span: int = 50, reach: int = 26, strides: tuple[int, ...] = (5, 1)) -> Measure:
+    return Measure("word", span, reach, strides)
+
+
+_LONG = 64
+_POWERS = np.cumprod(np.r_[1, np.full(_LONG - 1, 0x9E3779B97F4A7C15, np.uint64)].astype(np.uint64), dtype=np.uint64)
+_BLANK = np.zeros(256, bool)
+_BLANK[list(SEPARATORS)] = True
+
+
+def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of raw: its longest runs without separators."""
+    data = np.frombuffer(raw, np.uint8)
+    on = np.r_[False, ~_BLANK[data], False]
+    edges = np.flatnonzero(on[1:] != on[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64)
+    size = ends - starts
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    terms = (data[on[1:-1]].astype(np.uint64) + np.uint64(1)) * _POWERS[np.minimum(place, _LONG - 1)]
+    h = np.add.reduceat(terms, np.cumsum(size) - size)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    for k in np.flatnonzero(size > _LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+    return starts, ends, h
+
+
+def symbols(texts: Sequence[bytes], kind: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(buffer, grams, ends): the texts' symbols end to end, a hash at each symbol, and where each text ends, counted in symbols."""
+    if kind == "word":
+        raw = b"\n".join(texts)
+        starts, _, h = words(raw)
+        cuts = np.cumsum([len(t) + 1 for t in texts])
+        return h.tobytes(), h, np.searchsorted(starts, cuts)
+    raw = b"".join(texts)
+    padded = np.frombuffer(raw + bytes(GRAM), np.uint8)
+    return raw, np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,)), np.cumsum([len(t) for t in texts], dtype=np.int64)
+
+
+def parse(grams: np.ndarray, ends: np.ndarray, span: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix-free parse of texts that lie end to end: arrays (trigger, low, high), one row per phrase.
+
+    grams: a rolling hash at each symbol. The trigger of a string of span symbols is the smallest hash (the first of equals) in
+    its first reach symbols, so it depends on the string alone: equal strings have their triggers at equal places, and no phrase
+    is longer than reach. Row: all strings that start at low..high have their trigger at trigger. Every start of a string that
+    fits in its text is in exactly one row.
     """
     starts = np.r_[0, ends[:-1]]
     fits = ends - starts >= span
@@ -31,9 +99,6 @@ def parse(data: np.ndarray, ends: np.ndarray, span: int = SPAN, reach: int = REA
     out = [[], [], []]
     if not len(starts):
         return tuple(np.zeros(0, np.int64) for _ in out)
-    padded = np.zeros(len(data) + BLOCK + reach + GRAM, np.uint8)
-    padded[: len(data)] = data
-    grams = np.ndarray(len(padded) - GRAM + 1, "<u8", padded.data, strides=(1,))
     at = int(starts[0])
     while True:
         hi = min(at + BLOCK, int(last[-1]) + 1)
@@ -62,10 +127,10 @@ def parse(data: np.ndarray, ends: np.ndarray, span: int = SPAN, reach: int = REA
         at = max(hi, int(starts[min(np.searchsorted(last, hi), len(starts) - 1)]))
 
 
-def _slices(sizes: np.ndarray, most: int = 1 << 20):
+def _slices(sizes: list[int], most: int = 1 << 20):
     """Ranges of texts with up to most bytes together, or one text."""
     a = total = 0
-    for b, size in enumerate(sizes.tolist()):
+    for b, size in enumerate(sizes):
         if total and total + size > most:
             yield a, b
             a, total = b, 0
@@ -73,187 +138,180 @@ def _slices(sizes: np.ndarray, most: int = 1 << 20):
     yield a, len(sizes)
 
 
-def phrases(texts: DataFrame, span: int, reach: int) -> DataFrame:
-    """texts (id, h, t) to one row per phrase: bucket k (hash of the bytes that every string of the row has), class c (hash of
-    all bytes of the row's strings and of the trigger's place), id, h, low, pre (trigger - low) and n (strings)."""
-    schema = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("id", pa.int64()), ("h", pa.int32()), ("low", pa.int32()), ("pre", pa.int32()), ("n", pa.int32())])
-    core, hash64 = span - reach, xxhash.xxh3_64_intdigest
-
-    def run(batches):
-        for b in batches:
-            texts, sizes = b.column(2), pc.binary_length(b.column(2)).to_numpy()
-            ids, hs = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for x, y in _slices(sizes):
-                raw = b"".join(texts[x:y].to_pylist())
-                ends = np.cumsum(sizes[x:y], dtype=np.int64)
-                t, lo, hi = parse(np.frombuffer(raw, np.uint8), ends, span, reach)
-                doc = np.searchsorted(ends, t, "right")
-                k = np.fromiter((hash64(raw[a : a + core]) for a in t.tolist()), np.uint64, len(t)).view(np.int64)
-                c = np.fromiter((hash64(raw[a : z + span], m - a) for a, z, m in zip(lo.tolist(), hi.tolist(), t.tolist())), np.uint64, len(t)).view(np.int64)
-                yield batch(schema, k, c, ids[x:y][doc], hs[x:y][doc], lo - np.r_[0, ends][doc], t - lo, hi - lo + 1)
-
-    return texts.mapInArrow(run, "k long, c long, id long, h int, low int, pre int, n int")
-
+_hash = xxhash.xxh3_64_intdigest
 
-def bucket_repeats(rows: list[tuple], span: int) -> list[tuple[int, int, int]]:
-    """Rows (copies, pre, bytes) of one bucket, each another class: (row, first, last) of the runs of starts whose strings occur more than once.
 
-    The dictionary's suffixes, cut at span bytes, are put in order; what is repeated is adjacent. Equal strings have their
-    triggers at equal places, so only suffixes that start equally far before it can be equal.
-    """
-    by_place: dict[int, list[tuple[bytes, int, int]]] = {}
-    for r, (_, pre, raw) in enumerate(rows):
-        for s in range(len(raw) - span + 1):
-            by_place.setdefault(pre - s, []).append((raw[s : s + span], r, s))
-    hit: dict[int, list[int]] = {}
-    for suffixes in by_place.values():
-        suffixes.sort()
-        last = None
-        for x in suffixes:
-            if last is not None and last[0] == x[0]:
-                hit.setdefault(x[1], []).append(x[2])
-                hit.setdefault(last[1], []).append(last[2])
-            last = x
-    for r, (copies, _, raw) in enumerate(rows):
-        if copies > 1:
-            hit.pop(r, None)
-    return [(r, a, b) for r, starts in hit.items() for a, b in _runs(sorted(set(starts)))]
-
-
-def _runs(sorted_ints: list[int]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s in sorted_ints:
-        if out and s == out[-1][1] + 1:
-            out[-1][1] = s
-        else:
-            out.append([s, s])
-    return [tuple(x) for x in out]
+def _hashes(buffer: bytes, a: np.ndarray, b: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    return np.fromiter((_hash(buffer[x:y], s) for x, y, s in zip(a.tolist(), b.tolist(), seed.tolist())), np.uint64, len(a)).view(np.int64)
 
 
-_RUNS = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
-
-
-def _in_buckets(contexts: DataFrame, span: int) -> DataFrame:
-    """(k, c, a, b) for buckets that one task holds: contexts arrive by bucket, one bucket at a time is sorted."""
+def phrases(texts: DataFrame, measures: Sequence[Measure]) -> DataFrame:
+    """texts (h1, h2, r, t) to one row per phrase: u (the measure's number), bucket k (hash of the symbols that every string of the row
+    has), class c (hash of all symbols of the row's strings and of the trigger's place), h1, h2, r, low, pre (trigger - low), n (strings)."""
+    schema = pa.schema([("u", pa.int8()), *[(c, pa.int64()) for c in ("k", "c", "h1", "h2", "r")], *[(c, pa.int32()) for c in ("low", "pre", "n")]])
 
     def run(batches):
-        key, held = None, []
-
-        def solve():
-            found = bucket_repeats([x[1:] for x in held], span) if len(held) > 1 else []
-            return [(key, held[r][0], a, b) for r, a, b in found]
-
         for b in batches:
-            out = []
-            for k, c, copies, pre, raw in zip(*(b.column(j).to_pylist() for j in range(5))):
-                if k != key:
-                    out += solve()
-                    key, held = k, []
-                held.append((c, copies, pre, raw))
-            yield batch(_RUNS, *(zip(*out) if out else ([],) * 4))
-        out = solve()
-        yield batch(_RUNS, *(zip(*out) if out else ([],) * 4))
+            keys = [b.column(j).to_numpy() for j in range(3)]
+            for x, y in _slices(pc.binary_length(b.column(3)).to_pylist()):
+                part = b.column(3)[x:y].to_pylist()
+                for u, m in enumerate(measures):
+                    buffer, grams, ends = symbols(part, m.kind)
+                    t, lo, hi = parse(grams, ends, m.span, m.reach)
+                    doc, w = np.searchsorted(ends, t, "right"), m.width
+                    k = _hashes(buffer, t * w, (t + m.span - m.reach) * w, np.full(len(t), u))
+                    c = _hashes(buffer, lo * w, (hi + m.span) * w, (t - lo) * 8 + u)
+                    yield batch(schema, np.full(len(t), u, np.int8), k, c, *(v[x:y][doc] for v in keys), lo - np.r_[0, ends][doc], t - lo, hi - lo + 1)
 
-    x = contexts.select("k", "c", "copies", "pre", "raw").repartition("k").sortWithinPartitions("k")
-    return x.mapInArrow(run, "k long, c long, a int, b int")
+    return texts.mapInArrow(run, "u byte, k long, c long, h1 long, h2 long, r long, low int, pre int, n int")
 
 
-def _in_large_buckets(contexts: DataFrame, span: int) -> DataFrame:
-    """(k, c, a, b) for buckets of any size: every string of the bucket goes its own way by its hash, and equal ones are summed map-side."""
-    schema = pa.schema([("k", pa.int64()), ("w", pa.int64()), ("c", pa.int64()), ("s", pa.int32()), ("copies", pa.int64())])
+_STRINGS = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("many", pa.bool_()), ("a", pa.int32()), ("b", pa.int32()), ("s", pa.int64()), ("w", pa.int64())])
 
-    def run(batches):
-        for b in batches:
-            for k, c, copies, pre, raw in zip(*(b.column(j).to_pylist() for j in range(5))):
-                n = len(raw) - span + 1
-                w = [signed(xxhash.xxh3_64_intdigest(raw[s : s + span], pre - s + 4096)) for s in range(n)]
-                yield batch(schema, [k] * n, w, [c] * n, range(n), [copies] * n)
-
-    each = contexts.select("k", "c", "copies", "pre", "raw").mapInArrow(run, "k long, w long, c long, s int, copies long")
-    twice = each.groupBy("k", "w").agg(F.sum("copies").alias("m")).filter("m > 1").select("k", "w")
-    hits = each.filter("copies = 1").join(twice, ["k", "w"]).select("k", "c", F.col("s").alias("a"), F.col("s").alias("b"))
-    return hits
 
+def _strings(contexts: DataFrame, measures: Sequence[Measure], step: int) -> DataFrame:
+    """Contexts (u, k, c, many, pre, raw, ranges) to groups of up to strides[step] neighbouring strings: (k, c, many, a, b, s, w), for the
+    strings a..b of entry (k, c). s: hash of what every string of a full group has; w: hash of all the group's symbols. Groups are cut at
+    equal places before the trigger, so equal strings of different entries are in groups of equal s. ranges null: all strings."""
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, reach: int = REACH, bucket_most: int = 500, every_text: bool = False) -> DataFrame:
-    """(rest, n_bytes, sha, z, spans): per input row its other columns as a struct, the text's UTF-8 size, and either sha, the
-    sha256 of the whole text (no phrase of it is repeated), or z, the text in zstd, with spans, the repeated byte ranges [a, b).
-    every_text: z for all rows.
-
-    A byte is in a range if a string of span bytes covers it that starts at another place too: in another document, in another
-    row, or elsewhere in the same text. Strings never cross texts; null texts are empty; ids may be null or repeated.
+    def run(batches):
+        for batch_in in batches:
+            cols = [[] for _ in range(7)]
+            for u, k, c, many, pre, raw, ranges in zip(*(batch_in.column(j).to_pylist() for j in range(7))):
+                m = measures[u]
+                stride, span, w = m.strides[step], m.span, m.width
+                for lo, hi in [(r["a"], r["b"]) for r in ranges] if ranges else [(0, len(raw) // w - span)]:
+                    for j in range((pre - hi) // stride, (pre - lo) // stride + 1):
+                        near, far = max(j * stride, pre - hi), min(j * stride + stride - 1, pre - lo)
+                        a, b, core = pre - far, pre - near, pre - j * stride
+                        s = _hash(raw[core * w : (core + span - stride + 1) * w], j * 8 + u)
+                        x = _hash(raw[a * w : (b + span) * w], (far << 20) + (u << 17) + 1)
+                        for col, v in zip(cols, (k, c, many, a, b, s, x)):
+                            col.append(v)
+                if len(cols[0]) > 20000:
+                    yield _string_batch(cols)
+                    cols = [[] for _ in range(7)]
+            if cols[0]:
+                yield _string_batch(cols)
+
+    return contexts.select("u", "k", "c", "many", "pre", "raw", "ranges").mapInArrow(run, "k long, c long, many boolean, a int, b int, s long, w long")
+
+
+def _string_batch(cols: list[list]) -> pa.RecordBatch:
+    hashed = [np.array(x, np.uint64).view(np.int64) for x in cols[5:]]
+    return batch(_STRINGS, *cols[:5], *hashed)
+
+
+def _shared_strings(contexts: DataFrame, measures: Sequence[Measure]) -> DataFrame:
+    """(k, c, a, b): the strings a..b of entry (k, c) that other entries have too.
+
+    Groups of strides[0] neighbouring strings are counted by what all of them share: a group that one entry alone has is done, and one
+    that is the same in all its entries is repeated as a whole. Only the others are told apart with the next stride, the last being single
+    strings. Every bucket goes this way, whatever its size: rows grow with entries, are counted map-side, and are never brought together.
+    """
+    ranges = F.lit(None).cast("array<struct<a:int,b:int>>").alias("ranges")
+    at, found = contexts.select("*", ranges), None
+    steps = len(measures[0].strides)
+    for step in range(steps):
+        last = step == steps - 1
+        each = written(_strings(at, measures, step), f"strings-{step}")
+        keys = ["s", "w"] if last else ["s"]
+        twice = each.groupBy(*keys).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("w").alias("w0"), F.max("w").alias("w1")).filter("c0 <> c1")
+        twice = twice.select(*keys, (F.col("w0") != F.col("w1")).alias("mixed"))
+        hits = each.join(twice, keys)
+        hits = written(hits.select("k", "c", "many", "a", "b", "mixed"), f"hits-{step}")
+        runs = hits.filter("not many and not mixed").select("k", "c", "a", "b")
+        found = runs if found is None else found.union(runs)
+        if not last:
+            more = hits.filter("mixed").groupBy("k", "c").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+            at = contexts.join(more, ["k", "c"])
+    return found
+
+
+def repeats(df: DataFrame, measures: Sequence[Measure], id_col: str = "doc_id", text_col: str = "text", every_text: bool = False) -> DataFrame:
+    """(rest, n_bytes, sha, z, spans): per input row its other columns as a struct rest, first whether the text is null and then the columns
+    in order; the text's UTF-8 size, and either sha, the sha256 of the whole text (no phrase of it is repeated), or z, the text in zstd, with
+    spans, the repeated ranges (u, a, b): symbols a..b-1 of measure u. every_text: z for all rows.
+
+    A symbol is in a range if a string of measures[u].span symbols covers it that starts at another place too: in another document, in
+    another row, or elsewhere in the same text. Strings never cross texts; null texts are empty; ids may be null or repeated.
 
     1. Each text is parsed into phrases at rolling-hash triggers (see parse); the phrase table is written.
     2. Phrases are counted by bucket. A bucket that occurs once holds no repeated string: in most text that's the end of it.
-    3. A bucket whose occurrences all have the same bytes is repeated as a whole: the dictionary has one entry.
-    4. For the rest, one occurrence of each distinct entry is fetched, and the entries' suffixes are put in order in the bucket.
-    Buckets of more than bucket_most distinct entries are split by string instead, with the same result.
+    3. A bucket whose occurrences all have the same symbols is repeated as a whole: the dictionary has one entry.
+    4. For the rest, one occurrence of each distinct entry is fetched, and its strings are compared with those of the bucket's other
+    entries (see _shared_strings).
+
+    Texts are known by two independent 64-bit hashes together, so copies share their ranges and ids play no part in what is removed.
     """
     bounded_batches(df)
     t = text_bytes(text_col)
-    key = {"id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)).alias("id"), "h": F.xxhash64(t).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("h")}
-    all_phrases = written(phrases(df.select(*key.values(), t.alias("t")).filter(F.octet_length("t") >= span), span, reach), "phrases")
+    key = {"h1": F.xxhash64(t), "h2": F.xxhash64(F.lit("second"), t), "r": F.xxhash64(F.col(f"`{id_col}`"))}
+    keys = [c.alias(k) for k, c in key.items()]
+    least = min(m.least_bytes for m in measures)
+    all_phrases = written(phrases(df.select(*keys, t.alias("t")).filter(F.octet_length("t") >= least), measures), "phrases")
     buckets = all_phrases.groupBy("k").agg(F.count("*").alias("occurs"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("occurs > 1")
     buckets = written(buckets.select("k", (F.col("c0") != F.col("c1")).alias("mixed")), "buckets")
     found = written(all_phrases.join(buckets, "k"), "repeated-phrases")
 
-    place = F.struct("id", "h", "low", "pre", "n")
+    place = F.struct("h1", "h2", "r", "low", "pre", "n", "u")
     entries = found.filter("mixed").groupBy("k", "c").agg(F.count("*").alias("copies"), F.min(place).alias("at"))
-    entries = written(entries.select("k", "c", "copies", "at.*"), "entries")
-    large = written(entries.groupBy("k").count().filter(F.col("count") > bucket_most).select("k", F.lit(True).alias("large")), "large-buckets")
-    wanted = entries.join(large, "k", "left").select("id", "h", F.struct("k", "c", "copies", "low", "pre", "n", F.coalesce("large", F.lit(False)).alias("large")).alias("want"))
-    none = found.select("id", "h", F.lit(None).cast(wanted.schema["want"].dataType).alias("want"))
-    active = wanted.union(none).groupBy("id", "h").agg(F.collect_list("want").alias("wants"))
-
-    rest = [c for c in df.columns if c != text_col]
-    rows = df.select(*key.values(), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.octet_length(t).cast("long").alias("n_bytes"), F.unhex(F.sha2(t, 256)).alias("sha"), t.alias("z"))
+    entries = written(entries.select("k", "c", (F.col("copies") > 1).alias("many"), "at.*"), "entries")
+    wanted = entries.select("h1", "h2", F.struct("u", "k", "c", "many", "low", "pre", "n", "r").alias("want"))
+    none = found.select("h1", "h2", F.lit(None).cast(wanted.schema["want"].dataType).alias("want"))
+    active = wanted.union(none).groupBy("h1", "h2").agg(F.collect_list("want").alias("wants"))
 
-    def squeeze(batches):
+    @F.arrow_udf("binary")
+    def squeezed(texts: pa.Array) -> pa.Array:
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            i = b.schema.get_field_index("z")
-            yield b.set_column(i, b.schema.field(i), pa.array([z.compress(x.as_py()) for x in b.column(i)], b.schema.field(i).type))
+        return pa.array([z.compress(x) for x in texts.to_pylist()], pa.binary())
 
-    rows = rows.mapInArrow(squeeze, rows.schema)
-    store = rows.join(active, ["id", "h"], "left")
+    rest = [F.col(f"`{text_col}`").isNull().alias("_0"), *[F.col(f"`{c}`").alias(f"_{j}") for j, c in enumerate((c for c in df.columns if c != text_col), 1)]]
+    rows = df.select(*keys, F.struct(*rest).alias("rest"), F.octet_length(t).cast("long").alias("n_bytes"), F.unhex(F.sha2(t, 256)).alias("sha"), squeezed(t).alias("z"))
+    store = rows.join(active, ["h1", "h2"], "left")
     known = F.col("wants").isNotNull()
-    store = written(store.select("id", "h", "rest", "n_bytes", F.when(~known, F.col("sha")).alias("sha"), F.when(known | F.lit(every_text), F.col("z")).alias("z"), "wants"), "texts")
+    wants = F.filter("wants", lambda x: x["r"] == F.col("r"))  # one of a text's copies is asked
+    store = store.select("h1", "h2", "rest", "n_bytes", F.when(~known, F.col("sha")).alias("sha"), F.when(known | F.lit(every_text), F.col("z")).alias("z"), wants.alias("wants"))
+    store = written(store, "texts")
 
     def fetch(batches):
         z = zstandard.ZstdDecompressor()
-        schema = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("copies", pa.int64()), ("pre", pa.int32()), ("raw", pa.binary()), ("large", pa.bool_())])
+        schema = pa.schema([("u", pa.int8()), ("k", pa.int64()), ("c", pa.int64()), ("many", pa.bool_()), ("pre", pa.int32()), ("raw", pa.binary())])
         for b in batches:
             out = []
-            for packed, wants in zip(b.column(0), b.column(1)):
-                raw = z.decompress(packed.as_py())
-                out += [(w["k"], w["c"], w["copies"], w["pre"], raw[w["low"] : w["low"] + w["n"] - 1 + span], w["large"]) for w in wants.as_py()]
+            for packed, ask in zip(b.column(0), b.column(1)):
+                ask, raw = ask.as_py(), z.decompress(packed.as_py())
+                buffers = {u: symbols([raw], measures[u].kind)[0] for u in {w["u"] for w in ask}}
+                for w in ask:
+                    m = measures[w["u"]]
+                    out.append((w["u"], w["k"], w["c"], w["many"], w["pre"], buffers[w["u"]][w["low"] * m.width : (w["low"] + w["n"] - 1 + m.span) * m.width]))
                 if len(out) > 2000:
                     yield batch(schema, *zip(*out))
                     out = []
             if out:
                 yield batch(schema, *zip(*out))
 
-    contexts = store.filter("size(wants) > 0").select("z", "wants").mapInArrow(fetch, "k long, c long, copies long, pre int, raw binary, large boolean")
-    runs = _in_buckets(contexts.filter("not large"), span)
-    if not large.isEmpty():
-        runs = runs.union(_in_large_buckets(contexts.filter("large"), span))
-    runs = written(runs, "runs")
-
-    whole = [F.col("low").alias("a"), (F.col("low") + F.col("n") - 1 + span).alias("b")]
-    spans = found.filter("not mixed").select("id", "h", *whole)
-    spans = spans.union(found.filter("mixed").join(entries.filter("copies > 1").select("k", "c"), ["k", "c"]).select("id", "h", *whole))
-    part = [(F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b") + span).alias("b")]
-    spans = spans.union(runs.join(entries.filter("copies = 1").select("k", "c", "id", "h", "low"), ["k", "c"]).select("id", "h", *part))
-    spans = spans.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    out = store.filter("z is not null").select("id", "h", "rest", "n_bytes", "sha", "z").join(written(spans, "spans"), ["id", "h"], "left")
-    fields = ["rest", "n_bytes", "sha", "z", "spans"]
-    return out.select(*fields).union(store.filter("z is null").select("rest", "n_bytes", "sha", "z", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
-
-
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that the ranges cover."""
+    contexts = store.filter("size(wants) > 0").select("z", "wants").mapInArrow(fetch, "u byte, k long, c long, many boolean, pre int, raw binary")
+    runs = _shared_strings(written(contexts, "contexts"), measures)
+
+    span = F.lit(measures[0].span)
+    for j, m in enumerate(measures[1:], 1):
+        span = F.when(F.col("u") == j, m.span).otherwise(span)
+    whole = ["h1", "h2", "u", F.col("low").alias("a"), (F.col("low") + F.col("n") - 1 + span).alias("b")]
+    spans = found.filter("not mixed").select(*whole)
+    spans = spans.union(found.filter("mixed").join(entries.filter("many").select("k", "c"), ["k", "c"]).select(*whole))
+    part = ["h1", "h2", "u", (F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b") + span).alias("b")]
+    spans = spans.union(runs.join(entries.filter("not many").select("k", "c", "h1", "h2", "u", "low"), ["k", "c"]).select(*part))
+    spans = written(spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("u", "a", "b")).alias("spans")), "spans")
+    fields = ["rest", "n_bytes", "sha", "z"]
+    out = store.filter("z is not null").join(spans, ["h1", "h2"], "left").select(*fields, "spans")
+    return out.union(store.filter("z is null").select(*fields, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
+
+
+def merged(spans: list[dict] | None, u: int = 0) -> list[tuple[int, int]]:
+    """Maximal runs of symbols that the ranges of measure u cover."""
     out: list[list[int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
+    for a, b in sorted((s["a"], s["b"]) for s in spans or () if s["u"] == u):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -266,10 +324,24 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[cuts[i] : cuts[i + 1]] for i in range(0, len(cuts), 2))
 
 
-def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, **how) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per input row; see repeats."""
-    found = repeats(df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), span=span, **how)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+def byte_ranges(raw: bytes, spans: list[dict] | None, u: int, kind: str) -> list[tuple[int, int]]:
+    """The runs of measure u as byte ranges; a run of words goes from the first word's start to the last one's end."""
+    runs = merged(spans, u)
+    if kind == "byte" or not runs:
+        return runs
+    starts, ends, _ = words(raw)
+    return [(int(starts[a]), int(ends[b - 1])) for a, b in runs]
+
+
+def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_of: Measure = byte_strings(), words_of: Measure = word_strings()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated_words), one row per input row; see repeats.
+
+    The first five are about byte strings: what is removed and what is left. n_repeated_words counts the words that strings of words cover
+    which also start elsewhere, such as passages shorter than a byte string; nothing is removed for them. Ids that aren't numbers are null.
+    """
+    found = repeats(df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), [bytes_of, words_of])
+    fields = [(c, pa.int64()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [("kept_sha256", pa.string()), ("n_repeated_words", pa.int64())]
+    schema = pa.schema(fields)
 
     def run(batches):
         z = zstandard.ZstdDecompressor()
@@ -278,24 +350,29 @@ def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for doc, n, sha, packed, spans in ([x.as_py() for x in row] for row in zip(*(b.column(j) for j in range(5)))):
                 gone = merged(spans)
                 kept = sha.hex() if packed is None else hashlib.sha256(without(z.decompress(packed), gone)).hexdigest()
-                out.append((doc, n, sum(y - x for x, y in gone), len(gone), kept))
-            yield batch(schema, *(zip(*out) if out else ([],) * 5))
+                out.append((doc, n, sum(y - x for x, y in gone), len(gone), kept, sum(y - x for x, y in merged(spans, 1))))
+            yield batch(schema, *(zip(*out) if out else ([],) * 6))
 
-    return found.select("rest.doc_id", "n_bytes", "sha", "z", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = found.select(F.col("rest._1").alias("doc_id"), "n_bytes", "sha", "z", "spans")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, **how) -> DataFrame:
-    """df with the repeated bytes taken out of its texts, all rows and columns kept; a null text stays null.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: Measure = byte_strings()) -> DataFrame:
+    """df with what repeated strings cover taken out of its texts, all rows and columns kept, whatever their names; a null text stays null.
 
-    Ranges are byte ranges, so a cut may halve a character; what is left of it is dropped from the text.
+    Byte ranges may halve a character; what is left of it is dropped from the text. Ranges of words are whole words with what is between them.
     """
-    null = "_null_text"
-    found = repeats(df.withColumn(null, F.col(f"`{text_col}`").isNull()), id_col, text_col, span, every_text=True, **how)
+    found = repeats(df, [of], id_col, text_col, every_text=True)
 
     @F.arrow_udf("string")
     def kept(packed: pa.Array, spans: pa.Array) -> pa.Array:
         z = zstandard.ZstdDecompressor()
-        return pa.array([without(z.decompress(p), merged(s)).decode("utf-8", "ignore") for p, s in zip(packed.to_pylist(), spans.to_pylist())], pa.string())
-
-    text = F.when(~F.col(f"rest.{null}"), kept("z", "spans"))
-    return found.select(*[text.alias(text_col) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in df.columns])
+        out = []
+        for p, s in zip(packed.to_pylist(), spans.to_pylist()):
+            raw = z.decompress(p)
+            out.append(without(raw, byte_ranges(raw, s, 0, of.kind)).decode("utf-8", "ignore"))
+        return pa.array(out, pa.string())
+
+    rest: dict[str, Column] = {c: F.col(f"rest._{j}") for j, c in enumerate((c for c in df.columns if c != text_col), 1)}
+    rest[text_col] = F.when(~F.col("rest._0"), kept("z", "spans"))
+    return found.select(*[rest[c].alias(c) for c in df.columns])

@@ -1,9 +1,8 @@
 import random
 
-import numpy as np
-
 import corpus_pipeline
-from tessera.llm import quality, simhash, suffix, toxicity
+from tessera.llm import quality, simhash, toxicity
+from test_suffix import brute_without_words
 
 RNG = random.Random(12)
 WORDS = ["".join(RNG.choices("abcdefghij", k=RNG.randint(2, 8))) for _ in range(900)]
@@ -68,21 +67,11 @@ def test_stages_against_brute_force(spark, tmp_path):
     three = spark.read.parquet(str(tmp_path / "three"))
 
     four = stage["suffix-array dedup"](spark, three, d)
-    raw, seen = {i: t.encode() for i, t in key(three)}, {}
-    for x in raw.values():
-        for s in range(len(x) - 399):
-            seen[x[s : s + 400]] = seen.get(x[s : s + 400], 0) + 1
-    want = []
-    for i, x in raw.items():
-        gone = np.zeros(len(x), bool)
-        for s in range(len(x) - 399):
-            if seen[x[s : s + 400]] > 1:
-                gone[s : s + 400] = True
-        want.append((i, bytes(b for b, g in zip(x, gone) if not g).decode("utf-8", "ignore")))
+    texts = key(three)
+    want = list(zip([i for i, _ in texts], brute_without_words([t for _, t in texts], 50)))
     assert key(four) == sorted(want) != key(three) and four.columns == docs.columns
     assert all(r.n_chars == len(r.text) for r in four.collect())
     assert four.dtypes == docs.dtypes
 
     last = corpus_pipeline.run(spark, d)
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == {i for i, _ in want}
-    assert suffix.SPAN == 400
