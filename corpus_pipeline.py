@@ -31,8 +31,8 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out of the texts every byte that a 400-byte string covers which also starts elsewhere; n_chars follows the text."""
-    out = suffix.remove_repeats(docs, span=400)
+    """Takes out of the texts every passage that 50-word strings cover which also start elsewhere; n_chars follows the text."""
+    out = suffix.remove_repeats(docs, of=suffix.word_strings(50))
     return out.selectExpr(*["char_length(text) + 0L as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
 
 
