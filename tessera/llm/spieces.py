@@ -70,6 +70,13 @@ def charmap_rules(charsmap: bytes) -> dict[str, str]:
     return rules
 
 
+def _width(points: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of each code point."""
+    if not len(points) or points.max() < 0x80:
+        return np.ones(len(points), np.int8)
+    return np.int8(1) + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+
+
 @dataclass
 class Normalizer:
     """Longest-prefix normalisation; see normalize."""
@@ -82,45 +89,54 @@ class Normalizer:
 
     def __post_init__(self):
         self.most = max(map(len, self.rules), default=0)
-        self.starts = {k[0] for k in self.rules}
+        self.starts = re.compile("[" + "".join(map(re.escape, sorted({k[0] for k in self.rules}))) + "]") if self.rules else None
+
+    def _replaced(self, text: str, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code points, source offsets) after the character map: what lies between its sources is taken over in whole stretches."""
+        out, begin, i, look = [], [], 0, 0
+        while hit := self.starts.search(text, look):
+            look = hit.start()
+            for n in range(min(self.most, len(text) - look), 0, -1):
+                if (new := self.rules.get(text[look : look + n])) is not None:
+                    out += [points[i:look], np.array([ord(c) for c in new], "<u4")]
+                    begin += [at[i:look], np.full(len(new), at[look], at.dtype)]
+                    i = look = look + n
+                    break
+            else:
+                look += 1
+        return (np.concatenate([*out, points[i:]]), np.concatenate([*begin, at[i:]])) if out else (points, at)
 
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
-        """(normalised text, begin): begin[i] is the UTF-8 offset in text of what character i came from, and begin[-1] its end.
+        """(normalised text, begin): begin[i] is the UTF-8 offset in text of what the normalised text's UTF-8 byte i came from, and begin[-1] its end.
 
         At each place the longest source of the character map that stands there is replaced; elsewhere a character stands for
         itself. Then white space is squeezed (none at the ends, single inside), a space put in front (or behind, for models
         that mark word ends) and spaces written as U+2581, as the model asks. An empty text stays empty.
         """
-        width = np.array([len(c.encode("utf-8", "surrogatepass")) for c in text], np.int64) if not text.isascii() else np.ones(len(text), np.int64)
-        at = np.r_[0, np.cumsum(width)]
-        out: list[str] = []
-        begin: list[int] = []
-        i = 0
-        while i < len(text):
-            size, new = 1, text[i]
-            if text[i] in self.starts:
-                for n in range(min(self.most, len(text) - i), 0, -1):
-                    if (hit := self.rules.get(text[i : i + n])) is not None:
-                        size, new = n, hit
-                        break
-            out.extend(new)
-            begin.extend([int(at[i])] * len(new))
-            i += size
-        end = int(at[-1])
-        if self.squeeze:
-            keep = [k for k, c in enumerate(out) if c != " " or (k and out[k - 1] != " ")]
-            while keep and out[keep[-1]] == " ":
-                end = begin[keep.pop()]
-            out, begin = [out[k] for k in keep], [begin[k] for k in keep]
-        if self.dummy_prefix and out:
-            if self.suffix:
-                out.append(" ")
-                begin.append(end)
-            else:
-                out.insert(0, " ")
-                begin.insert(0, begin[0])
-        norm = "".join(out)
-        return norm.replace(" ", SPACE) if self.escape else norm, np.array([*begin, end], np.int64)
+        out = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        at = np.cumsum(_width(out), dtype=np.int32)
+        end = int(at[-1]) if len(at) else 0
+        begin = np.r_[np.int32(0), at[:-1]] if len(at) else at
+        if self.starts:
+            out, begin = self._replaced(text, out, begin)
+        if self.squeeze and len(out):
+            space = out == 32
+            keep = ~space
+            keep[1:] |= ~space[:-1]
+            out, begin = out[keep], begin[keep]
+        mark = np.uint32(ord(SPACE) if self.escape else 32)
+        out = np.where(out == 32, mark, out)
+        some = len(out) or (text and not self.squeeze)
+        if self.dummy_prefix and not self.suffix and some:
+            out, begin = np.r_[mark, out], np.r_[begin[:1] if len(out) else np.int32(0), begin]
+        if self.squeeze:  # as the library does: marks at the end go, whatever they came from
+            own = np.flatnonzero(out != mark)
+            size = int(own[-1]) + 1 if len(own) else 0
+            if size < len(out):
+                end, out, begin = int(begin[size]), out[:size], begin[:size]
+        if self.dummy_prefix and self.suffix and some:
+            out, begin = np.r_[out, mark], np.r_[begin, np.int32(end)]
+        return out.astype("<u4", copy=False).tobytes().decode("utf-32-le"), np.r_[np.repeat(begin, _width(out)), np.int32(end)]
 
 
 class Pieces:
@@ -145,43 +161,46 @@ class Pieces:
         self.normalizer = Normalizer(charmap_rules(spec.get(2, b"")), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1)), bool(trainer.get(24, 0)))
         text = [p[1].decode() for p in names]
         kind = [p.get(3, 1) for p in names]
-        self.size = np.array([1 if k == 6 else len(t.encode()) - 2 * t.count(SPACE) for t, k in zip(text, kind)], "<u4")
+        self.size = np.array([1 if k == 6 else len(t.encode()) for t, k in zip(text, kind)], np.int64)
         self.unknown = np.array([k == 2 for k in kind])
         self.names = [str(i) for i in range(len(text))]
         n = self.normalizer
-        # without rules, spaces are marked one by one; if no piece has a mark behind another character, no merge crosses such a place
-        self.by_chunk = not n.rules and n.dummy_prefix and not n.squeeze and n.escape and not n.suffix and trainer.get(3, 1) == 2 and not any(re.search(f"[^{SPACE}]{SPACE}", t) for t in text)
+        # if no piece has a mark behind another character, no merge crosses such a place
+        self.by_chunk = n.escape and not n.suffix and trainer.get(3, 1) == 2 and not any(re.search(f"[^{SPACE}]{SPACE}", t) for t in text)
         # the library's queue is faster on chunks of about a thousand characters
         self.chunk = re.compile(f".{{1000,}}?(?=(?<=[^{SPACE}]){SPACE}|\\Z)|.+", re.S)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, begin, end) of each piece, in UTF-8 bytes of the original text; bytes of one character share its span's parts only as a whole."""
         norm, begin = self.normalizer.normalize(text)
-        if not norm:
-            return []
-        width = [len(c.encode()) for c in norm]
-        begin = np.r_[np.repeat(begin[:-1], width), begin[-1]].tolist()  # by byte, as the library counts
+        return self._spans(norm, begin) if norm else []
+
+    def _spans(self, norm: str, begin: np.ndarray) -> list[tuple[int, int, int]]:
+        begin = begin.tolist()
         return [(p.id, begin[p.begin], begin[p.end]) for p in self.merge.encode(norm, return_type="proto").pieces]
 
     def ids(self, text: str) -> list[int]:
         return self.merge.encode(self.normalizer.normalize(text)[0])
 
     def digest(self, text: str) -> tuple[int, str, str, int]:
-        """(number of ids, sha256 of the ids as text, sha256 of the decoded text, crc32 of the pieces' ends as uint32)."""
-        if text and self.by_chunk and SPACE not in text:
-            encoded = self.merge.encode(self.chunk.findall(SPACE + text.replace(" ", SPACE)), num_threads=1)
-            ids = list(chain.from_iterable(encoded))
-            flat, raw = np.array(ids, np.int32), text.encode()
-            ends = np.cumsum(self.size[flat], dtype=np.int64) - 1  # the first mark is no byte of the text
-            if ends[-1] == len(raw) and not self.unknown[flat].any():  # the spans tile the text, so decoding, which puts them in a row, gives it back
-                names = self.names
-                joined = ",".join([names[i] for i in ids])
-                return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), zlib.crc32(ends.astype("<u4").tobytes())
-        spans = self.spans(text)
-        ids = [s[0] for s in spans]
+        """(number of ids, sha256 of the ids as text, sha256 of the decoded text, crc32 of the pieces' ends as uint32).
+
+        Every text is normalised with its alignment, its pieces' ends are projected through it, and its ids are decoded by the library.
+        """
+        norm, begin = self.normalizer.normalize(text)
+        ids, ends = [], np.zeros(0, np.int32)
+        if norm and self.by_chunk:
+            ids = list(chain.from_iterable(self.merge.encode(self.chunk.findall(norm), num_threads=1)))
+            flat = np.array(ids, np.int32)
+            at = np.cumsum(self.size[flat])
+            if at[-1] == len(begin) - 1 and not self.unknown[flat].any():  # pieces lie end to end in the normalised text
+                ends = begin[at]
+        if norm and not len(ends):  # unknown pieces have no size of their own
+            spans = self._spans(norm, begin)
+            ids, ends = [s[0] for s in spans], np.array([s[2] for s in spans])
         back = self.library.decode(ids) if ids else ""
-        ends = np.array([s[2] for s in spans], "<u4").tobytes()
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), zlib.crc32(ends)
+        joined = ",".join(map(self.names.__getitem__, ids))
+        return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), zlib.crc32(ends.astype("<u4").tobytes())
 
 
 @cache

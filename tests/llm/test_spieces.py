@@ -61,7 +61,7 @@ def charsmap(rules):
             fill(base ^ c, prefix + bytes([c]))
 
     fill(0, b"")
-    size = max(units) + 256
+    size = (max(units) + 511) // 256 * 256  # the library wants whole kilobytes
     blob = b"".join(struct.pack("<I", units.get(i, 0)) for i in range(size))
     return struct.pack("<I", len(blob)) + blob + texts
 
@@ -75,12 +75,52 @@ def test_charmap():
     norm, begin = n.normalize(text)
     assert norm == "▁fi▁Aéxab"
     raw = text.encode()
-    assert [raw[a:b].decode() for a, b in zip(begin[1:], begin[2:])] == ["", "ﬁ", "　 ", "Ａ", "é", "abc", "a", "b​"]
+    at = [int(begin[len(norm[:k].encode())]) for k in range(len(norm) + 1)]  # by character
+    assert [raw[a:b].decode() for a, b in zip(at[1:], at[2:])] == ["", "ﬁ", "　 ", "Ａ", "é", "abc", "a", "b​"]
     assert spieces.Normalizer(rules, suffix=True).normalize("a ")[0] == "a▁"
     assert spieces.Normalizer({}, dummy_prefix=False, squeeze=False, escape=False).normalize(" a  ")[0] == " a  "
     assert n.normalize("")[0] == n.normalize("  ")[0] == ""
 
 
+def with_normalizer(path, rules, squeeze, prefix):
+    """The model with another normaliser, as file bytes."""
+    blob = charsmap(rules)
+    spec = b"\x0a\x04test\x12" + varint(len(blob)) + blob + bytes([0x18, prefix, 0x20, squeeze, 0x28, 1])
+    with open(PATH, "rb") as f:
+        raw = f.read()
+    kept = b"".join(raw[a:b] for field, _, a, b in spieces.proto_fields(raw) if field != 3)
+    path.write_bytes(kept + b"\x1a" + varint(len(spec)) + spec)
+    return str(path)
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+@pytest.mark.parametrize("squeeze,prefix", [(0, 1), (1, 1), (1, 0)])
+def test_a_model_with_rules_equals_the_library(tmp_path, squeeze, prefix):
+    rules = {"ﬁ": "fi", "é": "e", "é": "e", "　": " ", "日": "day ", "abc": "x", "ab": "ba", "🙂": "", "\n": " "}
+    path = with_normalizer(tmp_path / "m.model", rules, squeeze, prefix)
+    library, m = sentencepiece.SentencePieceProcessor(model_file=path), spieces.Pieces(path)
+    assert m.normalizer.rules == rules and m.normalizer.squeeze == bool(squeeze) and m.by_chunk
+    rng = random.Random(squeeze * 2 + prefix)
+    texts = TEXTS + ["".join(rng.choices(["ﬁ", "é", "é", "　", "日", "abc", "ab", "a", " ", "🙂", "\n", "word", "the "], k=rng.randint(1, 400))) for _ in range(300)]
+    for t in texts:
+        ids = library.encode(t)
+        want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((library.decode(ids) if ids else "").encode()).hexdigest())
+        got, spans = m.digest(t), m.spans(t)
+        assert got[:3] == want and [s[0] for s in spans] == ids
+        assert got[3] == zlib.crc32(np.array([s[2] for s in spans], "<u4").tobytes())
+        ends, raw = [b for _, _, b in spans], t.encode()
+        assert ends == sorted(ends)
+        proto = library.encode(t, return_type="proto").pieces
+        assert [(p.begin, p.end) for p in proto if p.surface and all(ord(c) < 128 for c in t)] == [(a, b) for (_, a, b), p in zip(spans, proto) if p.surface and all(ord(c) < 128 for c in t)]
+        assert not ends or ends[-1] <= len(raw)
+
+
 @pytest.mark.parametrize("column", ["text"])
 def test_frames(spark, column):
     rows = [(i, t) for i, t in enumerate(TEXTS[:40])] + [(1, None), (None, "a b")]
