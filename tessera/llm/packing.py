@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -19,6 +21,9 @@ from tessera.llm.common import bounded_batches, written
 #: Fixed value: how byte-level BPE splits text before merging.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+LONG_RUN = 5000
+LONG_BLANK = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}")
+
 
 def byte_alphabet() -> dict[str, int]:
     """Character to byte, as byte-level vocabularies write bytes: printable Latin-1 as itself, the others from 256 up in order."""
@@ -30,8 +35,9 @@ def byte_alphabet() -> dict[str, int]:
 class ByteBpe:
     """Ids of a byte-level BPE tokenizer file as the tokenizers library gives them without special tokens, as little-endian uint32 bytes.
 
-    Where the file is plain byte-level BPE whose ids follow its merges, tiktoken runs the same merges six times as fast; texts
-    with a special token's string, and other kinds of files, are encoded by the tokenizers library.
+    Where the file is plain byte-level BPE whose ids follow its merges, tiktoken runs the same merges several times as fast. Other
+    kinds of files, texts with a special token's string, and texts with a long run of white space, for which tiktoken's pattern needs
+    more stack the longer it is, are encoded by the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -59,7 +65,7 @@ class ByteBpe:
         return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or (len(text) >= LONG_RUN and LONG_BLANK.search(text)):
             return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 
@@ -145,6 +151,12 @@ def slots(patterns: list) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
+def slot_bound(capacity: int) -> int:
+    """How many slots there can be. Placing a length changes whole patterns and then splits one or adds two, so there are at most two
+    patterns for each length; and the lengths of a pattern differ, so there are less than sqrt(2 * capacity) of them."""
+    return 2 * capacity * math.isqrt(2 * capacity)
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row per piece of a document's ids and end_id.
 
@@ -153,14 +165,17 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
 
     The piece table is written, with each piece's number within its task and length; the sums of those counts over tasks make
     it a rank within its length, without bringing the pieces of a length together. The histogram has capacity rows at most and
-    is all that the driver sees; the pattern slots, whose number depends on capacity alone, are broadcast and joined by rank.
+    is all that the driver sees; the pattern slots, at most slot_bound(capacity) however many documents there are, are broadcast
+    and joined by rank.
     """
     cut = written(pieces(df, id_col, text_col, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity, end_id), "pieces")
     counts = written(cut.groupBy("length", "part").count(), "piece-counts")
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts_before = counts.select("length", "part", before.alias("before"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    table = df.sparkSession.createDataFrame(slots(shortest_pack_first(histogram, capacity)), "slot_length long, low long, high long, sequence long, base long, times long")
+    places = slots(shortest_pack_first(histogram, capacity))
+    assert len(places) <= slot_bound(capacity)
+    table = df.sparkSession.createDataFrame(places, "slot_length long, low long, high long, sequence long, base long, times long")
     rank = F.col("before") + F.col("nth")
     placed = cut.join(counts_before, ["length", "part"]).withColumn("rank", rank)
     placed = placed.join(F.broadcast(table), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))

@@ -21,6 +21,31 @@ def test_ids_equal_the_tokenizers_library():
         assert list(array.array("I", fast.encode(t))) == slow.encode(t, add_special_tokens=False).ids
 
 
+BLANKS = ["\n" * 1_000_000, " " * 1_200_000 + "a", "x" + " \t\u00a0\n" * 50_000 + "\r", "\u3000" * 5000 + "b", "y " + "\n" * 4999 + "c", "a" * 300_000, "!" * 300_000]
+
+
+@pytest.mark.parametrize("k", range(len(BLANKS)))
+def test_long_runs_equal_the_tokenizers_library(k):
+    slow, fast = Tokenizer.from_file(PATH), packing.byte_bpe(PATH)
+    assert list(array.array("I", fast.encode(BLANKS[k]))) == slow.encode(BLANKS[k], add_special_tokens=False).ids
+
+
+def test_long_texts_equal_the_tokenizers_library():
+    slow, fast, rng = Tokenizer.from_file(PATH), packing.byte_bpe(PATH), random.Random(8)
+    for _ in range(30):
+        parts = ["word", " the", "  ", "\n" * rng.randint(1, 6000), " " * rng.randint(1, 6000), "日本", "é", "'ll", "123", "?!", "\x1c\x85", "🙂", "\t"]
+        t = "".join(rng.choices(parts, k=rng.randint(1, 300)))
+        assert list(array.array("I", fast.encode(t))) == slow.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_slots_stay_under_their_bound(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([5, 64, 300, 2048])
+    h = {n: rng.choice([1, rng.randint(1, 9), rng.randint(1, 10**6)]) for n in range(1, capacity + 1) if rng.random() < rng.choice([1.0, 0.3])}
+    assert len(packing.slots(packing.shortest_pack_first(h, capacity))) <= packing.slot_bound(capacity)
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_patterns_hold_the_histogram(seed):
     rng = random.Random(seed)
