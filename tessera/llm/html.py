@@ -36,6 +36,8 @@ CLOSES = {
 #: What keeps an unclosed paragraph from being closed by a block inside it.
 SCOPE = set("article section div td th table body html main aside footer header nav form li dd blockquote figure button".split())
 MAIN = {"article", "main"}
+#: Elements nested deeper become siblings, as in browsers, so no walk up a tree is longer.
+DEEPEST = 256
 
 
 #: Why an element isn't main text: its name or its class says so, or its tag or that it's hidden.
@@ -43,10 +45,11 @@ SOFT, HARD = 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "around", "main")
+    __slots__ = ("tag", "parent", "children", "around", "main", "depth")
 
     def __init__(self, tag: str, parent: Node | None, around: int = 0, main: bool = False):
         self.tag, self.parent, self.children, self.around, self.main = tag, parent, [], around, main
+        self.depth = 0 if parent is None else parent.depth + 1
 
 
 def _marks(names: str) -> bool:
@@ -74,8 +77,10 @@ def _node(tag: str, attributes: str, parent: Node) -> Node:
 
 def tree(page: str) -> Node:
     """The page's elements as a tree. Forgives what is left open or closed twice: a block closes an open paragraph, items and
-    cells close their siblings, an end tag closes the nearest element of its name unless a container lies between."""
+    cells close their siblings, an end tag closes the nearest element of its name unless a container lies between. What is nested
+    more than DEEPEST deep stays in the tree, flat."""
     root = at = Node("html", None)
+    flat: dict[str, int] = {}
     i, n = 0, len(page)
     for m in iter(lambda: TOKEN.search(page, i), None):
         if m.start() > i:
@@ -86,6 +91,9 @@ def tree(page: str) -> Node:
             continue
         tag, attributes = tag.lower(), m[3] if m[2] else m[6]
         if m[1] or m[4]:
+            if flat.get(tag):
+                flat[tag] -= 1
+                continue
             up = at
             while up is not root and up.tag != tag and not (up.tag in SCOPE and tag not in BLOCK) and not (up.tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "body", "html")):
                 up = up.parent
@@ -116,7 +124,10 @@ def tree(page: str) -> Node:
             node.children.append(page[i : end.start() if end else n])
             i = n if not end else page.find(">", end.start()) + 1 or n
         elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
-            at = node
+            if node.depth < DEEPEST:
+                at = node
+            else:
+                flat[tag] = flat.get(tag, 0) + 1
     if i < n:
         at.children.append(page[i:])
     return root
@@ -177,7 +188,7 @@ def extract(page: str | None) -> str:
     """The main text; empty for a null or empty page and for pages without any.
 
     Each run of text gives its element's ancestors points: one, one for each comma, one for each hundred characters (three at
-    most); all of them to the parent, half to the grandparent, less further up. A container's points are discounted by the
+    most); all of them to the parent, half to the grandparent; less further up. A container's points are discounted by the
     share of its text that is in links. The best container is taken, grown to the main element around it if there is one,
     with those siblings that score a fifth of it or are long and nearly free of links.
     """
@@ -193,17 +204,21 @@ def extract(page: str | None) -> str:
         p = 1 + text.count(",") + min(len(text) // 100, 3)
         if linked > len(text) / 2:
             p = 0
-        box = node.parent if node.tag in ("p", "pre", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote") and node.parent else node
-        level, up = 0, box
+        up = node.parent if node.tag in ("p", "pre", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote") and node.parent else node
+        level = 0
         while up is not None:
             points[up] = points.get(up, 0.0) + p / (1, 2, 6, 9)[min(level, 3)] / (1 if level < 4 else level)
             level, up = level + 1, up.parent
         up = node
-        while up is not None:
-            n = size.setdefault(up, [0, 0])
-            n[0] += len(text)
-            n[1] += linked
+        while up is not None and up not in size:  # what is above a known element is known
+            size[up] = [0, 0]
             up = up.parent
+        size[node][0] += len(text)
+        size[node][1] += linked
+    for x in sorted(size, key=lambda x: -x.depth):
+        if x.parent is not None:
+            size[x.parent][0] += size[x][0]
+            size[x.parent][1] += size[x][1]
     value = {x: (points.get(x, 0.0) + (25 if x.main else 0)) * (1 - min(1.0, size[x][1] / max(1, size[x][0]))) for x in size}
     order = {x: k for k, x in enumerate(value)}
     best = max(value, key=lambda x: (value[x], -order[x]))
@@ -220,12 +235,15 @@ def extract(page: str | None) -> str:
                 strong = value[x] >= max(5.0, value[best] / 5)
                 if x.main and strong if best.main else strong or (x.tag in ("p", "h1") and links < 0.25 * n and (n >= 80 or x.tag == "h1")):
                     chosen.add(x)
+    taken = dict.fromkeys(chosen, True)
     out = []
     for node, text, _ in found:
-        up = node
-        while up is not None and up not in chosen:
+        way, up = [], node
+        while up is not None and up not in taken:
+            way.append(up)
             up = up.parent
-        if up is not None:
+        taken |= dict.fromkeys(way, up is not None and taken[up])
+        if taken[node]:
             out.append(text)
     return " ".join(out)
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tessera.llm import html
@@ -44,3 +46,22 @@ def test_frames(spark):
     assert [tuple(r) for r in got] == [(i, u, html.extract(h), len(html.extract(h))) for i, u, h in rows]
     assert got[3].n_chars == 5000 * (len(P) + 1) - 1
     assert html.main_text(df.limit(0)).count() == 0
+
+
+def test_deep_pages_take_linear_time():
+    """Text at every level of unclosed elements, stray end tags at the bottom: twice the page, about twice the time."""
+
+    def took(n):
+        began = time.process_time()
+        text = html.extract("".join(f"<div>line {i}, and more words here " for i in range(n)) + "</h6>" * n)
+        assert len(text) > 20 * (n - 300)
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 5 * took(8_000)
+
+
+def test_closed_deep_elements_stay_apart():
+    page = "<div>" * 600 + "deep" + "</div>" * 600 + f"<article><p>{P}</p></article>"
+    assert html.extract(page) == P
+    assert html.extract("<div>" * 600 + f"<p>{P}</p><nav>no</nav><p>{P}</p>" + "</div>" * 600) == f"{P} {P}"
