@@ -124,7 +124,7 @@ def tree(page: str) -> Node:
             node.children.append(page[i : end.start() if end else n])
             i = n if not end else page.find(">", end.start()) + 1 or n
         elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
-            if node.depth < DEEPEST:
+            if node.depth < DEEPEST or (node.around and not at.around):  # what isn't main text keeps its element
                 at = node
             else:
                 flat[tag] = flat.get(tag, 0) + 1
