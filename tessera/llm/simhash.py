@@ -63,7 +63,8 @@ def _links_of(keys: np.ndarray, sub: np.ndarray, fps: np.ndarray, radius: int) -
 
     Postings of up to 256 rows compare each row with those after it; larger ones probe every fingerprint that differs in up
     to radius bits of the positions left open, so work and links grow with the rows of a posting, not with their square.
-    A pair is tallied in every posting that it shares; it's emitted only by the first one.
+    Of each pair that meets, the shared positional bytes are tallied; it's verified if they reach the minimum, and emitted only by
+    the first of the postings that it shares.
     """
     subsets = _subsets(radius)
     new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -72,11 +73,11 @@ def _links_of(keys: np.ndarray, sub: np.ndarray, fps: np.ndarray, radius: int) -
 
     def emit(i: np.ndarray, j: np.ndarray) -> None:
         d = fps[i] ^ fps[j]
-        ok = (_popcount(d) <= radius) & (d != 0)
-        i, j, d = i[ok], j[ok], d[ok]
+        differs = [((d >> np.uint64(8 * p)) & np.uint64(255)) != 0 for p in range(BYTES)]
+        ok = (BYTES - np.sum(differs, axis=0) >= BYTES - radius) & (_popcount(d) <= radius) & (d != 0)  # the tally, then the distance
+        i, j, differs = i[ok], j[ok], [x[ok] for x in differs]
         if not len(i):
             return
-        differs = [((d >> np.uint64(8 * p)) & np.uint64(255)) != 0 for p in range(BYTES)]
         first = np.full(len(i), -1)
         for k, s in reversed(list(enumerate(subsets))):  # the first subset of positions that covers all that differ
             covered = np.ones(len(i), bool)
@@ -173,8 +174,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     found = near_duplicates(df, id_col, text_col, radius)
     best = found.groupBy(F.coalesce("component_id", F.lit(-1)).alias("c"), F.col("component_id").isNull().alias("none"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f"))
     best = best.agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("h"))).alias("keep_h"), F.first("component_id").alias("keep_id")).select("keep_id", "keep_h")
-    h = df.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_h": F.xxhash64(text_bytes(text_col))})
-    on = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_h") == F.col("keep_h"))
-    kept = h.join(written(best, "kept"), on, "left_semi")
-    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h")))
-    return kept.filter("_n = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    # df's columns are carried in a struct by their place, so that no name of theirs can clash
+    row = F.struct(*[F.col(f"`{c}`").alias(f"_{j}") for j, c in enumerate(df.columns)])
+    rows = df.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_bytes(text_col)).alias("h"))
+    kept = rows.join(written(best, "kept"), F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")), "left_semi")
+    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))).filter("n = 1")
+    return kept.select(*[F.col(f"row._{j}").alias(c) for j, c in enumerate(df.columns)])

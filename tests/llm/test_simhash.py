@@ -95,6 +95,15 @@ def test_near_duplicates(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({c for _, _, c in brute(rows)})
 
 
+def test_names_that_clash(spark):
+    names = ["_id", "_h", "_n", "keep_id", "keep_h", "fp", "component_id", "row", "id", "h", "n", "_0", "c", "none"]
+    rows = [(1, "a b c d", *names), (2, "a b c d", *names), (3, None, *names), (None, None, *names), (4, "other words here now", *names), (4, "other words here now", *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
