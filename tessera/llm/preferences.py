@@ -47,11 +47,14 @@ def preferences(turns: DataFrame, pair_col: str, side_col: str, turn_col: str =
     turns: one row per turn, with its pair, its side (0 chosen, 1 rejected), its place, role and text. The longest common
     prefix of turns is rendered once as the prompt; the rest of each side is its completion, and spans say which characters
     of it are trained. A side without turns is an empty completion. Turns of equal place are ordered by role and text; a null
-    place comes first, a null role or text counts as empty; a null pair is a pair. Rows whose side is neither 0 nor 1 don't count.
+    place comes first, a null role or text counts as empty. A turn without a pair belongs to no other turn: each is a row of its own, as
+    the only turn of its side. Rows whose side is neither 0 nor 1 don't count. One pair is one row, collected in one task.
     """
     own = F.struct(F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = turns.select(F.col(f"`{pair_col}`").alias("pair_id"), F.col(f"`{side_col}`").cast("int").alias("side"), own.alias("t")).filter("side in (0, 1)")
-    both = rows.groupBy("pair_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("t")))).alias(name) for k, name in ((0, "a"), (1, "b"))])
+    both = rows.filter("pair_id is not null").groupBy("pair_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("t")))).alias(name) for k, name in ((0, "a"), (1, "b"))])
+    alone = rows.filter("pair_id is null").select("pair_id", *[F.when(F.col("side") == k, F.array("t")).otherwise(F.slice(F.array("t"), 1, 0)).alias(name) for k, name in ((0, "a"), (1, "b"))])
+    both = both.union(alone)
     both = both.withColumn("n_shared", shared_turns(F.col("a"), F.col("b")))
     n = F.col("n_shared")
 
@@ -66,5 +69,5 @@ def preferences(turns: DataFrame, pair_col: str, side_col: str, turn_col: str =
 
 
 def paired(conversations: DataFrame) -> DataFrame:
-    """Conversations 2k and 2k + 1 as pair k, the even one chosen; null ids are a pair of their own, chosen."""
+    """Conversations 2k and 2k + 1 as pair k, the even one chosen; turns with null ids have no pair and are chosen."""
     return conversations.withColumns({"_pair": F.expr("floor(conv_id / 2)").cast("long"), "_side": F.coalesce(F.expr("pmod(conv_id, 2)"), F.lit(0)).cast("int")})

@@ -58,6 +58,14 @@ def test_brute(spark):
     assert P.preferences(P.paired(df.limit(0)), "_pair", "_side").count() == 0
 
 
+def test_turns_without_a_pair_stay_apart(spark):
+    rows = [(None, 0, 1, "user", "a"), (None, 0, 2, "assistant", "b"), (None, 1, 1, None, None), (None, None, 1, "user", "no side"), (None, 0, 1, "user", "a")]
+    got = P.preferences(spark.createDataFrame(rows, "p long, s int, turn int, role string, text string"), "p", "s").collect()
+    out = lambda r, t: f"<|im_start|>{r}\n{t}<|im_end|>\n"
+    want = [(None, 0, "", out("user", "a"), "")] * 2 + [(None, 0, "", out("assistant", "b"), ""), (None, 0, "", "", out("", ""))]
+    assert sorted([tuple(r)[:5] for r in got], key=str) == sorted(want, key=str)
+
+
 def test_oracle(spark, tmp_path):
     rows = make()
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
