@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import let, sample_ids
 
+LOG = logging.getLogger(__name__)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -186,6 +188,8 @@ def train(urls: DataFrame, sample: int = 10_000, suffixes: int = 64) -> Trees:
     x = {f: np.array([r[2 + k] for r in got], float) for k, f in enumerate(features)}
     x["suffix_share"] = np.array([shares.get(r[0], share) for r in got])
     start, trees = boost(x, bad)
+    if not trees:
+        LOG.warning("no split of %d labelled urls explains their labels: every url without a rule has the same chance, %.3f", len(bad), share)
     return Trees(start, trees, shares, share)
 
 
@@ -203,7 +207,8 @@ def labelled(pages: DataFrame, labels: DataFrame, sample: int = 10_000) -> DataF
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: Trees, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
-    """(page_id, host, path, rule, verdict, chance): one row per input row. The longest rule that fits decides; elsewhere the
+    """(page_id, host, path, rule, verdict, chance, n_trees): one row per input row. n_trees: how many trees the model has; without any,
+    chance is the bad share of the labelled urls for every url. The longest rule that fits decides; elsewhere the
     trees block from a chance of threshold on. Null urls and urls without :// have an empty host and path, and no rule fits them."""
     u = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"))
     u = u.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
@@ -212,4 +217,4 @@ def judge(pages: DataFrame, rules: list[Rule], model: Trees, id_col: str = "page
     u = u.select("page_id", "host", "path", which.alias("rule"), ruled.alias("ruled"), model.suffix_share(h).alias("suffix_share"), *[c.alias(f) for f, c in lexical(F.col("url"), h, p).items()])
     u = u.withColumn("chance", F.round(model.chance(), 9))
     verdict = F.coalesce("ruled", F.when(F.col("chance") >= threshold, F.lit("block")).otherwise(F.lit("allow")))
-    return u.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "chance")
+    return u.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "chance", F.lit(len(model.trees)).alias("n_trees"))
