@@ -23,7 +23,7 @@ SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 @dataclass(frozen=True)
 class Measure:
-    """Strings of span symbols (bytes or words). Each has its trigger in its first reach symbols; strides: how finely strings that share a
+    """Strings of span symbols (bytes or words). Each has its trigger in its first reach symbols, 1,000 at most; strides: how finely strings that share a
     bucket are told apart, in steps, the last of them 1."""
 
     kind: str
@@ -40,11 +40,11 @@ class Measure:
         return self.span if self.kind == "byte" else 2 * self.span - 1
 
 
-def byte_strings(span: int = 400, reach: int = 256, strides: tuple[int, ...] = (16, 1)) -> Measure:
+def byte_strings(span: int = 400, reach: int = 300, strides: tuple[int, ...] = (16, 1)) -> Measure:
     return Measure("byte", span, reach, strides)
 
 
-def word_strings(span: int = 50, reach: int = 26, strides: tuple[int, ...] = (5, 1)) -> Measure:
+def word_strings(span: int = 50, reach: int = 38, strides: tuple[int, ...] = (6, 1)) -> Measure:
     return Measure("word", span, reach, strides)
 
 
@@ -145,10 +145,14 @@ def _hashes(buffer: bytes, a: np.ndarray, b: np.ndarray, seed: np.ndarray) -> np
     return np.fromiter((_hash(buffer[x:y], s) for x, y, s in zip(a.tolist(), b.tolist(), seed.tolist())), np.uint64, len(a)).view(np.int64)
 
 
+#: place = low << 23 | pre << 13 | n << 3 | u in one bigint: low, the first string's start; pre, how far the trigger lies behind it; n, strings; u, the measure.
+U, N, LOW = "cast(place & 7 as int)", "cast(shiftright(place, 3) & 1023 as int)", "cast(shiftright(place, 23) as int)"
+
+
 def phrases(texts: DataFrame, measures: Sequence[Measure]) -> DataFrame:
-    """texts (h1, h2, r, t) to one row per phrase: u (the measure's number), bucket k (hash of the symbols that every string of the row
-    has), class c (hash of all symbols of the row's strings and of the trigger's place), h1, h2, r, low, pre (trigger - low), n (strings)."""
-    schema = pa.schema([("u", pa.int8()), *[(c, pa.int64()) for c in ("k", "c", "h1", "h2", "r")], *[(c, pa.int32()) for c in ("low", "pre", "n")]])
+    """texts (h1, h2, r, t) to one row per phrase: bucket k (hash of the symbols that every string of the row has), class c (hash of all
+    symbols of the row's strings and of the trigger's place), h1, h2, r, place."""
+    schema = pa.schema([(c, pa.int64()) for c in ("k", "c", "h1", "h2", "r", "place")])
 
     def run(batches):
         for b in batches:
@@ -161,26 +165,27 @@ def phrases(texts: DataFrame, measures: Sequence[Measure]) -> DataFrame:
                     doc, w = np.searchsorted(ends, t, "right"), m.width
                     k = _hashes(buffer, t * w, (t + m.span - m.reach) * w, np.full(len(t), u))
                     c = _hashes(buffer, lo * w, (hi + m.span) * w, (t - lo) * 8 + u)
-                    yield batch(schema, np.full(len(t), u, np.int8), k, c, *(v[x:y][doc] for v in keys), lo - np.r_[0, ends][doc], t - lo, hi - lo + 1)
+                    place = (lo - np.r_[0, ends][doc]) << 23 | (t - lo) << 13 | (hi - lo + 1) << 3 | u
+                    yield batch(schema, k, c, *(v[x:y][doc] for v in keys), place)
 
-    return texts.mapInArrow(run, "u byte, k long, c long, h1 long, h2 long, r long, low int, pre int, n int")
+    return texts.mapInArrow(run, "k long, c long, h1 long, h2 long, r long, place long")
 
 
 _STRINGS = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("many", pa.bool_()), ("a", pa.int32()), ("b", pa.int32()), ("s", pa.int64()), ("w", pa.int64())])
 
 
 def _strings(contexts: DataFrame, measures: Sequence[Measure], step: int) -> DataFrame:
-    """Contexts (u, k, c, many, pre, raw, ranges) to groups of up to strides[step] neighbouring strings: (k, c, many, a, b, s, w), for the
+    """Contexts (k, c, many, place, raw, ranges) to groups of up to strides[step] neighbouring strings: (k, c, many, a, b, s, w), for the
     strings a..b of entry (k, c). s: hash of what every string of a full group has; w: hash of all the group's symbols. Groups are cut at
     equal places before the trigger, so equal strings of different entries are in groups of equal s. ranges null: all strings."""
 
     def run(batches):
         for batch_in in batches:
             cols = [[] for _ in range(7)]
-            for u, k, c, many, pre, raw, ranges in zip(*(batch_in.column(j).to_pylist() for j in range(7))):
-                m = measures[u]
-                stride, span, w = m.strides[step], m.span, m.width
-                for lo, hi in [(r["a"], r["b"]) for r in ranges] if ranges else [(0, len(raw) // w - span)]:
+            for k, c, many, place, raw, ranges in zip(*(batch_in.column(j).to_pylist() for j in range(6))):
+                u, pre = place & 7, place >> 13 & 1023
+                stride, span, w = measures[u].strides[step], measures[u].span, measures[u].width
+                for lo, hi in [(r["a"], r["b"]) for r in ranges] if ranges else [(0, (place >> 3 & 1023) - 1)]:
                     for j in range((pre - hi) // stride, (pre - lo) // stride + 1):
                         near, far = max(j * stride, pre - hi), min(j * stride + stride - 1, pre - lo)
                         a, b, core = pre - far, pre - near, pre - j * stride
@@ -194,7 +199,7 @@ def _strings(contexts: DataFrame, measures: Sequence[Measure], step: int) -> Dat
             if cols[0]:
                 yield _string_batch(cols)
 
-    return contexts.select("u", "k", "c", "many", "pre", "raw", "ranges").mapInArrow(run, "k long, c long, many boolean, a int, b int, s long, w long")
+    return contexts.select("k", "c", "many", "place", "raw", "ranges").mapInArrow(run, "k long, c long, many boolean, a int, b int, s long, w long")
 
 
 def _string_batch(cols: list[list]) -> pa.RecordBatch:
@@ -254,10 +259,9 @@ def repeats(df: DataFrame, measures: Sequence[Measure], id_col: str = "doc_id",
     buckets = written(buckets.select("k", (F.col("c0") != F.col("c1")).alias("mixed")), "buckets")
     found = written(all_phrases.join(buckets, "k"), "repeated-phrases")
 
-    place = F.struct("h1", "h2", "r", "low", "pre", "n", "u")
-    entries = found.filter("mixed").groupBy("k", "c").agg(F.count("*").alias("copies"), F.min(place).alias("at"))
+    entries = found.filter("mixed").groupBy("k", "c").agg(F.count("*").alias("copies"), F.min(F.struct("h1", "h2", "r", "place")).alias("at"))
     entries = written(entries.select("k", "c", (F.col("copies") > 1).alias("many"), "at.*"), "entries")
-    wanted = entries.select("h1", "h2", F.struct("u", "k", "c", "many", "low", "pre", "n", "r").alias("want"))
+    wanted = entries.select("h1", "h2", F.struct("k", "c", "many", "place", "r").alias("want"))
     none = found.select("h1", "h2", F.lit(None).cast(wanted.schema["want"].dataType).alias("want"))
     active = wanted.union(none).groupBy("h1", "h2").agg(F.collect_list("want").alias("wants"))
 
@@ -276,47 +280,52 @@ def repeats(df: DataFrame, measures: Sequence[Measure], id_col: str = "doc_id",
 
     def fetch(batches):
         z = zstandard.ZstdDecompressor()
-        schema = pa.schema([("u", pa.int8()), ("k", pa.int64()), ("c", pa.int64()), ("many", pa.bool_()), ("pre", pa.int32()), ("raw", pa.binary())])
+        schema = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("many", pa.bool_()), ("place", pa.int64()), ("raw", pa.binary())])
         for b in batches:
-            out = []
-            for packed, ask in zip(b.column(0), b.column(1)):
-                ask, raw = ask.as_py(), z.decompress(packed.as_py())
-                buffers = {u: symbols([raw], measures[u].kind)[0] for u in {w["u"] for w in ask}}
-                for w in ask:
-                    m = measures[w["u"]]
-                    out.append((w["u"], w["k"], w["c"], w["many"], w["pre"], buffers[w["u"]][w["low"] * m.width : (w["low"] + w["n"] - 1 + m.span) * m.width]))
-                if len(out) > 2000:
-                    yield batch(schema, *zip(*out))
-                    out = []
-            if out:
-                yield batch(schema, *zip(*out))
-
-    contexts = store.filter("size(wants) > 0").select("z", "wants").mapInArrow(fetch, "u byte, k long, c long, many boolean, pre int, raw binary")
+            asks, ends = b.column(1).flatten(), np.cumsum(pc.list_value_length(b.column(1)).to_numpy())
+            k, c, many, place = (asks.field(j) for j in range(4))
+            places, at, raws, sent = place.to_numpy(), 0, [], 0
+            for packed, end in zip(b.column(0), ends.tolist()):
+                raw, buffers = z.decompress(packed.as_py()), {}
+                for p in places[at:end].tolist():
+                    u, n, low = p & 7, p >> 3 & 1023, p >> 23
+                    m = measures[u]
+                    if u not in buffers:
+                        buffers[u] = symbols([raw], m.kind)[0]
+                    raws.append(buffers[u][low * m.width : (low + n - 1 + m.span) * m.width])
+                at = end
+                if len(raws) > 4000 or at == len(places):
+                    yield batch(schema, k[sent:at], c[sent:at], many[sent:at], place[sent:at], raws)
+                    raws, sent = [], at
+
+    contexts = store.filter("size(wants) > 0").select("z", "wants").mapInArrow(fetch, "k long, c long, many boolean, place long, raw binary")
     runs = _shared_strings(written(contexts, "contexts"), measures)
 
-    span = F.lit(measures[0].span)
-    for j, m in enumerate(measures[1:], 1):
-        span = F.when(F.col("u") == j, m.span).otherwise(span)
-    whole = ["h1", "h2", "u", F.col("low").alias("a"), (F.col("low") + F.col("n") - 1 + span).alias("b")]
-    spans = found.filter("not mixed").select(*whole)
-    spans = spans.union(found.filter("mixed").join(entries.filter("many").select("k", "c"), ["k", "c"]).select(*whole))
-    part = ["h1", "h2", "u", (F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.col("b") + span).alias("b")]
-    spans = spans.union(runs.join(entries.filter("not many").select("k", "c", "h1", "h2", "u", "low"), ["k", "c"]).select(*part))
+    span = "case " + " ".join(f"when {U} = {j} then {m.span}" for j, m in enumerate(measures)) + " end"
+    whole = ["h1", "h2", f"{U} as u", f"{LOW} as a", f"{LOW} + {N} - 1 + {span} as b"]
+    spans = found.filter("not mixed").selectExpr(*whole)
+    spans = spans.union(found.filter("mixed").join(entries.filter("many").select("k", "c"), ["k", "c"]).selectExpr(*whole))
+    part = ["h1", "h2", f"{U} as u", f"{LOW} + a as a", f"{LOW} + b + {span} as b"]
+    spans = spans.union(runs.join(entries.filter("not many").select("k", "c", "h1", "h2", "place"), ["k", "c"]).selectExpr(*part))
     spans = written(spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("u", "a", "b")).alias("spans")), "spans")
     fields = ["rest", "n_bytes", "sha", "z"]
     out = store.filter("z is not null").join(spans, ["h1", "h2"], "left").select(*fields, "spans")
     return out.union(store.filter("z is null").select(*fields, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
 
 
-def merged(spans: list[dict] | None, u: int = 0) -> list[tuple[int, int]]:
-    """Maximal runs of symbols that the ranges of measure u cover."""
-    out: list[list[int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans or () if s["u"] == u):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+def merged(spans: pa.ListArray, measures: int) -> list[list[list[tuple[int, int]]]]:
+    """For each row and measure the maximal runs of symbols that the row's ranges cover; a null row has none."""
+    flat, rows = spans.flatten(), len(spans)
+    group = np.repeat(np.arange(rows), pc.coalesce(pc.list_value_length(spans), 0).to_numpy())
+    group = (group * measures + flat.field(0).to_numpy()) << 32  # one number line for all rows: those of later rows lie behind
+    a, b = group + flat.field(1).to_numpy(), group + flat.field(2).to_numpy()
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    first = np.flatnonzero(np.r_[True, a[1:] > b[:-1]][: len(a)])
+    a, b = a[first], b[np.r_[first[1:] - 1, len(b) - 1]] if len(first) else b
+    cuts = np.searchsorted(a, np.arange(rows * measures + 1) << 32).tolist()
+    runs = list(zip((a & 0xFFFFFFFF).tolist(), (b & 0xFFFFFFFF).tolist()))
+    return [[runs[cuts[i * measures + u] : cuts[i * measures + u + 1]] for u in range(measures)] for i in range(rows)]
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -324,9 +333,8 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[cuts[i] : cuts[i + 1]] for i in range(0, len(cuts), 2))
 
 
-def byte_ranges(raw: bytes, spans: list[dict] | None, u: int, kind: str) -> list[tuple[int, int]]:
-    """The runs of measure u as byte ranges; a run of words goes from the first word's start to the last one's end."""
-    runs = merged(spans, u)
+def byte_ranges(raw: bytes, runs: list[tuple[int, int]], kind: str) -> list[tuple[int, int]]:
+    """Runs of symbols as byte ranges; a run of words goes from the first word's start to the last one's end."""
     if kind == "byte" or not runs:
         return runs
     starts, ends, _ = words(raw)
@@ -347,10 +355,9 @@ def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         z = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for doc, n, sha, packed, spans in ([x.as_py() for x in row] for row in zip(*(b.column(j) for j in range(5)))):
-                gone = merged(spans)
+            for doc, n, sha, packed, (gone, repeated) in zip(*(b.column(j).to_pylist() for j in range(4)), merged(b.column(4), 2)):
                 kept = sha.hex() if packed is None else hashlib.sha256(without(z.decompress(packed), gone)).hexdigest()
-                out.append((doc, n, sum(y - x for x, y in gone), len(gone), kept, sum(y - x for x, y in merged(spans, 1))))
+                out.append((doc, n, sum(y - x for x, y in gone), len(gone), kept, sum(y - x for x, y in repeated)))
             yield batch(schema, *(zip(*out) if out else ([],) * 6))
 
     rows = found.select(F.col("rest._1").alias("doc_id"), "n_bytes", "sha", "z", "spans")
@@ -368,9 +375,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def kept(packed: pa.Array, spans: pa.Array) -> pa.Array:
         z = zstandard.ZstdDecompressor()
         out = []
-        for p, s in zip(packed.to_pylist(), spans.to_pylist()):
+        for p, (runs,) in zip(packed.to_pylist(), merged(spans, 1)):
             raw = z.decompress(p)
-            out.append(without(raw, byte_ranges(raw, s, 0, of.kind)).decode("utf-8", "ignore"))
+            out.append(without(raw, byte_ranges(raw, runs, of.kind)).decode("utf-8", "ignore"))
         return pa.array(out, pa.string())
 
     rest: dict[str, Column] = {c: F.col(f"rest._{j}") for j, c in enumerate((c for c in df.columns if c != text_col), 1)}
