@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, bounded_batches, text_bytes, written
+from tessera.llm.common import batch, bounded_batches, discard, text_bytes, written
 
 GRAM, BLOCK = 8, 1 << 19
 #: Fixed value: the bytes that separate words.
@@ -223,8 +223,8 @@ def _shared_strings(contexts: DataFrame, measures: Sequence[Measure]) -> DataFra
         keys = ["s", "w"] if last else ["s"]
         twice = each.groupBy(*keys).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("w").alias("w0"), F.max("w").alias("w1")).filter("c0 <> c1")
         twice = twice.select(*keys, (F.col("w0") != F.col("w1")).alias("mixed"))
-        hits = each.join(twice, keys)
-        hits = written(hits.select("k", "c", "many", "a", "b", "mixed"), f"hits-{step}")
+        hits = written(each.join(twice, keys).select("k", "c", "many", "a", "b", "mixed"), f"hits-{step}")
+        discard(each)
         runs = hits.filter("not many and not mixed").select("k", "c", "a", "b")
         found = runs if found is None else found.union(runs)
         if not last:
@@ -258,6 +258,7 @@ def repeats(df: DataFrame, measures: Sequence[Measure], id_col: str = "doc_id",
     buckets = all_phrases.groupBy("k").agg(F.count("*").alias("occurs"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("occurs > 1")
     buckets = written(buckets.select("k", (F.col("c0") != F.col("c1")).alias("mixed")), "buckets")
     found = written(all_phrases.join(buckets, "k"), "repeated-phrases")
+    discard(all_phrases, buckets)
 
     entries = found.filter("mixed").groupBy("k", "c").agg(F.count("*").alias("copies"), F.min(F.struct("h1", "h2", "r", "place")).alias("at"))
     entries = written(entries.select("k", "c", (F.col("copies") > 1).alias("many"), "at.*"), "entries")
@@ -299,7 +300,8 @@ def repeats(df: DataFrame, measures: Sequence[Measure], id_col: str = "doc_id",
                     raws, sent = [], at
 
     contexts = store.filter("size(wants) > 0").select("z", "wants").mapInArrow(fetch, "k long, c long, many boolean, place long, raw binary")
-    runs = _shared_strings(written(contexts, "contexts"), measures)
+    contexts = written(contexts, "contexts")
+    runs = _shared_strings(contexts, measures)
 
     span = "case " + " ".join(f"when {U} = {j} then {m.span}" for j, m in enumerate(measures)) + " end"
     whole = ["h1", "h2", f"{U} as u", f"{LOW} as a", f"{LOW} + {N} - 1 + {span} as b"]
@@ -308,6 +310,7 @@ def repeats(df: DataFrame, measures: Sequence[Measure], id_col: str = "doc_id",
     part = ["h1", "h2", f"{U} as u", f"{LOW} + a as a", f"{LOW} + b + {span} as b"]
     spans = spans.union(runs.join(entries.filter("not many").select("k", "c", "h1", "h2", "place"), ["k", "c"]).selectExpr(*part))
     spans = written(spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("u", "a", "b")).alias("spans")), "spans")
+    discard(found, entries, contexts)
     fields = ["rest", "n_bytes", "sha", "z"]
     out = store.filter("z is not null").join(spans, ["h1", "h2"], "left").select(*fields, "spans")
     return out.union(store.filter("z is null").select(*fields, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
