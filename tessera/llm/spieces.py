@@ -89,6 +89,7 @@ class Normalizer:
 
     def __post_init__(self):
         self.most = max(map(len, self.rules), default=0)
+        self.plain = self.dummy_prefix and self.escape and not self.squeeze and not self.suffix
         self.starts = re.compile("[" + "".join(map(re.escape, sorted({k[0] for k in self.rules}))) + "]") if self.rules else None
 
     def _replaced(self, text: str, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +107,17 @@ class Normalizer:
                 look += 1
         return (np.concatenate([*out, points[i:]]), np.concatenate([*begin, at[i:]])) if out else (points, at)
 
+    def _marked(self, text: str) -> tuple[str, np.ndarray]:
+        """normalize() where nothing is replaced or squeezed: a mark in front, and marks for spaces."""
+        if not text:
+            return "", np.zeros(1, np.int32)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        begin = np.arange(len(raw), dtype=np.int32)
+        if len(raw) != len(text):  # all bytes of a character come from its first one
+            begin = np.maximum.accumulate(np.where((raw & 0xC0) == 0x80, 0, begin))
+        begin = np.repeat(begin, (raw == 32) * np.int8(2) + np.int8(1))
+        return SPACE + text.replace(" ", SPACE), np.concatenate([np.zeros(3, np.int32), begin, np.array([len(raw)], np.int32)])
+
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
         """(normalised text, begin): begin[i] is the UTF-8 offset in text of what the normalised text's UTF-8 byte i came from, and begin[-1] its end.
 
@@ -113,6 +125,8 @@ class Normalizer:
         itself. Then white space is squeezed (none at the ends, single inside), a space put in front (or behind, for models
         that mark word ends) and spaces written as U+2581, as the model asks. An empty text stays empty.
         """
+        if self.plain and not (self.starts and self.starts.search(text)):
+            return self._marked(text)
         out = np.frombuffer(text.encode("utf-32-le"), "<u4")
         at = np.cumsum(_width(out), dtype=np.int32)
         end = int(at[-1]) if len(at) else 0
