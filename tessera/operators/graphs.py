@@ -173,6 +173,58 @@ def shortest_paths(edges: DataFrame, landmarks: Iterable[int], rounds: int = 100
     return d
 
 
+def svd_plus_plus(ratings: DataFrame, rank: int = 8, rounds: int = 5, low: float = 0.0, high: float = 5.0, pace: tuple[float, float] = (0.007, 0.007), ridge: tuple[float, float] = (0.005, 0.015)) -> tuple[DataFrame, DataFrame, float]:
+    """Matrix factorisation with implicit feedback: (users, items, mean) from ratings (src, dst, rating), a user rating an item once.
+
+    A rating is predicted as mean + b_u + b_i + q_i . (p_u + |N_u|^-1/2 sum of y_j over the items N_u that u rated), cut to low..high.
+    Each round sums the gradients of all ratings per user and item and takes one step: pace and ridge are (of biases, of vectors).
+    users: id, norm, b, p; items: id, b, q, y. Vectors are columns' arrays of rank doubles; sums run map-side, dimension by dimension.
+    """
+    e = cut(ratings.select("src", "dst", F.col("rating").cast("double").alias("rating")))
+    mean = e.agg(F.avg("rating")).first()[0] or 0.0
+    (pace_b, pace_v), (ridge_b, ridge_v), dims = pace, ridge, range(rank)
+
+    def start(salt: str) -> Column:  # the same at every run: a hash of the id, in [-0.5, 0.5) / rank
+        return F.array(*[(F.pmod(F.xxhash64(F.lit(salt), F.lit(k), "id"), F.lit(1 << 20)) / float(1 << 20) - 0.5) / rank for k in dims])
+
+    def vector_sum(x: Column) -> list[Column]:
+        return [F.sum(x[k]) for k in dims]
+
+    def moved(x: str, step: str, by: float) -> Column:
+        return F.zip_with(x, step, lambda a, g: a + by * g)
+
+    users = cut(degrees(e, "out").select("id", (1 / F.sqrt("degree")).alias("norm"), F.lit(0.0).alias("b"), start("p").alias("p")))
+    items = cut(degrees(e, "in").select("id", F.lit(0.0).alias("b"), start("q").alias("q"), start("y").alias("y")))
+    for _ in range(rounds):
+        implicit = e.join(items.select(F.col("id").alias("dst"), "y"), "dst").groupBy(F.col("src").alias("id")).agg(F.array(*vector_sum(F.col("y"))).alias("s"))
+        full = cut(users.join(implicit, "id").withColumn("v", F.expr("zip_with(p, s, (a, x) -> a + norm * x)")).drop("s"))
+        t = e.join(full.selectExpr("id as src", "norm", "b as bu", "p", "v"), "src").join(items.selectExpr("id as dst", "b as bi", "q", "y"), "dst")
+        dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+        guess = F.greatest(F.least(F.lit(mean) + F.col("bu") + F.col("bi") + dot, F.lit(high)), F.lit(low))
+        t = cut(t.withColumn("err", F.col("rating") - guess))
+        of_users = t.groupBy(F.col("src").alias("id")).agg(
+            F.sum(F.col("err") - ridge_b * F.col("bu")).alias("gb"), F.array(*[F.sum(F.col("err") * F.col("q")[k] - ridge_v * F.col("p")[k]) for k in dims]).alias("gp")
+        )
+        of_items = t.groupBy(F.col("dst").alias("id")).agg(
+            F.sum(F.col("err") - ridge_b * F.col("bi")).alias("gb"),
+            F.array(*[F.sum(F.col("err") * F.col("v")[k] - ridge_v * F.col("q")[k]) for k in dims]).alias("gq"),
+            F.array(*[F.sum(F.col("err") * F.col("norm") * F.col("q")[k] - ridge_v * F.col("y")[k]) for k in dims]).alias("gy"),
+        )
+        users = cut(users.join(of_users, "id").select("id", "norm", (F.col("b") + pace_b * F.col("gb")).alias("b"), moved("p", "gp", pace_v).alias("p")))
+        items = cut(items.join(of_items, "id").select("id", (F.col("b") + pace_b * F.col("gb")).alias("b"), moved("q", "gq", pace_v).alias("q"), moved("y", "gy", pace_v).alias("y")))
+    return users, items, mean
+
+
+def svd_guess(ratings: DataFrame, users: DataFrame, items: DataFrame, mean: float, low: float = 0.0, high: float = 5.0) -> DataFrame:
+    """ratings (src, dst, ...) with the guess of a model of svd_plus_plus; the implicit part is of the ratings given here."""
+    rank = len((items.select("q").first() or [[]])[0])
+    y = ratings.join(items.select(F.col("id").alias("dst"), "y"), "dst").groupBy("src").agg(F.array(*[F.sum(F.col("y")[k]) for k in range(rank)]).alias("s"))
+    v = users.withColumnRenamed("id", "src").join(y, "src").selectExpr("src", "b as bu", "zip_with(p, s, (a, x) -> a + norm * x) as v")
+    t = ratings.join(v, "src").join(items.selectExpr("id as dst", "b as bi", "q"), "dst")
+    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda x, z: x + z)
+    return t.select(*ratings.columns, F.greatest(F.least(F.lit(mean) + F.col("bu") + F.col("bi") + dot, F.lit(high)), F.lit(low)).alias("guess"))
+
+
 def grid(spark: SparkSession, rows: int, cols: int) -> DataFrame:
     """Edges to the right and down of a grid whose ids go row by row."""
     n = spark.range(rows * cols)

@@ -2,12 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Aggregator:
+    """A typed aggregation: a buffer starts as zero(), reduce(buffer, frame) takes rows in, merge joins two buffers, finish gives the result."""
+
+    zero: Callable[[], object]
+    reduce: Callable[[object, pd.DataFrame], object]
+    merge: Callable[[object, object], object]
+    finish: Callable[[object], object]
+
+
+def typed_aggregate(df: DataFrame, keys: Sequence[str], columns: Sequence[str], how: Aggregator, result: str, most_keys: int = 100_000) -> DataFrame:
+    """(keys..., result): result is a column's name and type. Null keys are a group.
+
+    Every task reduces its own rows to one buffer a key (and hands its buffers on when it holds most_keys of them), so a key's rows never
+    meet: only its buffers do, one or a few a task.
+    """
+    kinds = dict(df.dtypes)
+    head, name = ", ".join(f"`{k}` {kinds[k]}" for k in keys), result.split()[0]
+
+    def partial(frames):
+        held: dict = {}
+
+        def out():
+            return pd.DataFrame([(*k, pickle.dumps(b)) for k, b in held.items()], columns=[*keys, "buffer"])
+
+        for frame in frames:
+            for k, rows in frame.groupby(list(keys), dropna=False, sort=False):
+                k = tuple(None if pd.isna(x) else x for x in k)
+                held[k] = how.reduce(held[k] if k in held else how.zero(), rows)
+            if len(held) >= most_keys:
+                yield out()
+                held.clear()
+        yield out()
+
+    def final(k, frame):
+        buffer = how.zero()
+        for b in frame["buffer"]:
+            buffer = how.merge(buffer, pickle.loads(b))
+        return pd.DataFrame([(*k, how.finish(buffer))], columns=[*keys, name])
+
+    buffers = df.select(*keys, *columns).mapInPandas(partial, f"{head}, buffer binary")
+    return buffers.groupBy(*keys).applyInPandas(final, f"{head}, {result}")
+
+
 def histogram(df: DataFrame, col: str, buckets: Sequence[float]) -> DataFrame:
     """(bucket, n): how many values lie in each [buckets[i], buckets[i+1]), the last one closed; values outside and nulls aren't counted, empty buckets are 0."""
     b = list(buckets)

@@ -17,13 +17,35 @@ def nations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trade(spark: SparkSession, d: str) -> DataFrame:
-    """Customers to parts of small keys."""
+    """Customers (even ids) to the parts (odd ids) they ordered, one edge a line of an order."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    e = o.filter("o_custkey <= 30").join(li.filter("l_partkey <= 30"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return e.select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"))
+    e = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    return e.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
 
 
-_TRADE = "(SELECT o_custkey AS src, l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <= 30 AND l_partkey <= 30)"
+_TRADE = "(SELECT o_custkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+
+
+def _spread(what: str, out: str, steps: int = 12) -> str:
+    """SQL that spreads the least or greatest id over _TRADE for a fixed number of steps, more than its components are wide."""
+    sql = f"WITH b AS MATERIALIZED (SELECT DISTINCT src, dst FROM {_TRADE} UNION SELECT dst, src FROM {_TRADE}), s0 AS MATERIALIZED (SELECT DISTINCT src AS id, src AS x FROM b)"
+    for k in range(1, steps + 1):
+        sql += f", s{k} AS MATERIALIZED (SELECT id, {what}(any_value(s.x), {'min' if what == 'least' else 'max'}(n.x)) AS x FROM s{k - 1} s JOIN b ON b.src = s.id JOIN s{k - 1} n ON n.id = b.dst GROUP BY s.id)".replace("SELECT id,", "SELECT s.id AS id,")
+    return sql + f" SELECT id, x AS {out} FROM s{steps}"
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Customer, part and supplier of each order line as a triangle; ids 3k, 3k + 1 and 3k + 2."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    t = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") * 3).alias("c"), (F.col("l_partkey") * 3 + 1).alias("p"), (F.col("l_suppkey") * 3 + 2).alias("s"))
+    return t.select(F.explode(F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in ("cp", "ps", "sc")])).alias("e")).select("e.*")
+
+
+def places(spark: SparkSession, d: str) -> DataFrame:
+    """Regions and their nations, both ways, and customers to their nation; ids 3k, 3k + 1 and 3k + 2."""
+    n = table(spark, d, "nation").select((F.col("n_regionkey") * 3).cast("long").alias("r"), (F.col("n_nationkey") * 3 + 1).cast("long").alias("n"))
+    c = table(spark, d, "customer").select((F.col("c_custkey") * 3 + 2).alias("src"), (F.col("c_nationkey") * 3 + 1).cast("long").alias("dst"))
+    return c.union(n.select("r", "n")).union(n.select("n", "r"))
 
 
 @query("g01_triplets", "SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -67,7 +89,7 @@ def canonical(spark: SparkSession, d: str) -> DataFrame:
     return graphs.canonical(trade(spark, d).withColumn("w", F.lit(1).cast("long")), "w")
 
 
-@query("g08_pregel_maximum", f"WITH RECURSIVE b AS (SELECT src, dst FROM {_TRADE} UNION SELECT dst, src FROM {_TRADE}), r AS (SELECT src AS id, src AS x FROM b UNION SELECT b.src, r.x FROM r JOIN b ON b.dst = r.id) SELECT id, max(x) AS attr FROM r GROUP BY id")
+@query("g08_pregel_maximum", _spread("greatest", "attr"))
 def pregel(spark: SparkSession, d: str) -> DataFrame:
     e = trade(spark, d)
     return graphs.pregel(graphs.vertices_of(e), e, F.col("id"), F.greatest("attr", "message"), F.max("msg"), to_dst=F.col("src_attr.attr"), to_src=F.col("dst_attr.attr"))
@@ -78,19 +100,22 @@ def page_rank(spark: SparkSession, d: str) -> DataFrame:
     return graphs.page_rank(nations(spark, d), 5).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("g10_connected_components", f"WITH RECURSIVE b AS (SELECT src, dst FROM {_TRADE} UNION SELECT dst, src FROM {_TRADE}), r AS (SELECT src AS id, src AS x FROM b UNION SELECT b.src, r.x FROM r JOIN b ON b.dst = r.id) SELECT id, min(x) AS component FROM r GROUP BY id")
+@query("g10_connected_components", _spread("least", "component"))
 def components(spark: SparkSession, d: str) -> DataFrame:
     return graphs.connected_components(trade(spark, d))
 
 
-@query("g11_strong_components", "SELECT CAST(i AS BIGINT) AS id, CAST(CASE WHEN i < 4 THEN 0 ELSE i END AS BIGINT) AS component FROM range(0, 7) t(i)")
+@query("g11_strong_components", "SELECT n_nationkey * 3 + 1 AS id, n_regionkey * 3 AS component FROM nation UNION ALL SELECT DISTINCT n_regionkey * 3, n_regionkey * 3 FROM nation UNION ALL SELECT c_custkey * 3 + 2, c_custkey * 3 + 2 FROM customer")
 def strong(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.strongly_connected_components(spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 0), (3, 4), (4, 5), (5, 6)], "src long, dst long"))
+    return graphs.strongly_connected_components(places(spark, d))
+
 
+_LINES = "(SELECT o_custkey * 3 AS c, l_partkey * 3 + 1 AS p, l_suppkey * 3 + 2 AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
-@query("g12_triangles", f"WITH e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {_TRADE} WHERE src <> dst), t AS (SELECT x.a AS i, x.b AS j, y.b AS k FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b), v AS (SELECT src AS id FROM {_TRADE} UNION SELECT dst FROM {_TRADE}) SELECT id, count(i) AS triangles FROM v LEFT JOIN t ON id IN (i, j, k) GROUP BY id")
+
+@query("g12_triangles", f"WITH l AS MATERIALIZED (SELECT * FROM {_LINES}), cp AS (SELECT DISTINCT c, p FROM l), ps AS (SELECT DISTINCT p, s FROM l), cs AS (SELECT DISTINCT c, s FROM l), t AS MATERIALIZED (SELECT cp.c AS c, cp.p AS p, ps.s AS s FROM cp JOIN ps ON cp.p = ps.p JOIN cs ON cs.c = cp.c AND cs.s = ps.s) SELECT id, count(*) AS triangles FROM (SELECT c AS id FROM t UNION ALL SELECT p FROM t UNION ALL SELECT s FROM t) GROUP BY id")
 def triangles(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.triangle_count(trade(spark, d))
+    return graphs.triangle_count(lines(spark, d))
 
 
 @query("g13_label_propagation", f"SELECT n_nationkey AS id, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS label FROM nation UNION ALL SELECT DISTINCT n_regionkey + 100, min(n_nationkey) OVER (PARTITION BY n_regionkey) FROM nation")
@@ -102,13 +127,35 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
     return graphs.label_propagation(ring, 3)
 
 
-@query("g14_shortest_paths", "SELECT CAST(i AS BIGINT) AS id, CAST(24 AS BIGINT) AS landmark, CAST((4 - i // 5) + (4 - i % 5) AS INTEGER) AS hops FROM range(0, 25) t(i)")
+@query("g14_shortest_paths", "WITH r AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation), l AS (SELECT DISTINCT r FROM r) SELECT r * 3 AS id, r * 3 AS landmark, 0 AS hops FROM l UNION ALL SELECT n * 3 + 1, r * 3, 1 FROM r UNION ALL SELECT c_custkey * 3 + 2, r * 3, 2 FROM customer JOIN r ON c_nationkey = n")
 def paths(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.shortest_paths(graphs.grid(spark, 5, 5), [24])
+    regions = [r.n_regionkey * 3 for r in table(spark, d, "nation").select("n_regionkey").distinct().collect()]
+    return graphs.shortest_paths(places(spark, d), regions)
+
+
+@query("g15_svd_plus_plus", f"SELECT count(*) AS n, round(avg(rating), 6) AS mean, true AS closer FROM (SELECT src, dst, 1.0 + least(count(*), 4) AS rating FROM {_TRADE} GROUP BY 1, 2)")
+def svd(spark: SparkSession, d: str) -> DataFrame:
+    """Customers rate a part by how often they ordered it; the model is closer to these ratings than their mean is."""
+    e = trade(spark, d).groupBy("src", "dst").agg((1.0 + F.least(F.count("*"), F.lit(4))).alias("rating"))
+    users, items, mean = graphs.svd_plus_plus(e, rank=3, rounds=3)
+    found = graphs.svd_guess(e, users, items, mean)
+    error = F.sum(F.pow(F.col("rating") - F.col("guess"), 2)) < F.sum(F.pow(F.col("rating") - mean, 2))
+    return found.agg(F.count("*").alias("n"), F.round(F.lit(mean), 6).alias("mean"), error.alias("closer"))
+
+
+@query("g16_grid", "SELECT CAST(i AS BIGINT) AS src, CAST(i + 1 AS BIGINT) AS dst FROM range(0, 42) t(i) WHERE i % 7 < 6 UNION ALL SELECT i, i + 7 FROM range(0, 35) t(i)")
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.grid(spark, 6, 7)
+
+
+@query("g16_star", "SELECT CAST(i AS BIGINT) AS src, CAST(0 AS BIGINT) AS dst FROM range(1, 1 + (SELECT count(*) FROM nation)) t(i)")
+def star(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.star(spark, table(spark, d, "nation").count() + 1)
 
 
-@query("g16_generators", "SELECT CAST(40 AS BIGINT) AS grid, CAST(9 AS BIGINT) AS star, true AS lognormal, true AS rmat")
-def generators(spark: SparkSession, d: str) -> DataFrame:
-    ok = graphs.log_normal(spark, 50, 1.0, 0.5).filter("src between 0 and 49 and dst between 0 and 49").count() > 0
-    r = graphs.rmat(spark, 5, 100).filter("src between 0 and 31 and dst between 0 and 31").count() > 20
-    return spark.createDataFrame([(graphs.grid(spark, 5, 5).count(), graphs.star(spark, 10).count(), ok, r)], "grid long, star long, lognormal boolean, rmat boolean")
+@query("g16_random", "SELECT CAST(i AS BIGINT) AS src, true AS inside FROM range(0, 50) t(i)")
+def random_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """Every vertex of a log-normal graph has edges, all of them and those of an R-MAT graph to known vertices."""
+    near, far = graphs.log_normal(spark, 50, 2.0, 0.3), graphs.rmat(spark, 5, 100)
+    strays = far.filter("src not between 0 and 31 or dst not between 0 and 31").count()
+    return near.groupBy("src").agg((F.min("dst") >= 0).alias("low"), (F.max("dst") < 50).alias("high")).select("src", (F.col("low") & F.col("high") & F.lit(strays == 0)).alias("inside"))

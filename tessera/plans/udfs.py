@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.grouping import Aggregator, typed_aggregate
 from tessera.registry import query, sql_query
 from tessera.sources.tables import table, views
 
@@ -37,11 +38,14 @@ def udaf(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x04_aggregator", "SELECT o_orderstatus, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY 1")
 def aggregator(spark: SparkSession, d: str) -> DataFrame:
-    @F.pandas_udf("double")
-    def spread(v: pd.Series) -> float:
-        return float(v.max() - v.min())
-
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(spread("o_totalprice").alias("spread"))
+    """The spread of prices, with a buffer of (least, greatest)."""
+    spread = Aggregator(
+        zero=lambda: (float("inf"), float("-inf")),
+        reduce=lambda b, rows: (min(b[0], rows.o_totalprice.min()), max(b[1], rows.o_totalprice.max())),
+        merge=lambda a, b: (min(a[0], b[0]), max(a[1], b[1])),
+        finish=lambda b: b[1] - b[0],
+    )
+    return typed_aggregate(table(spark, d, "orders"), ["o_orderstatus"], ["o_totalprice"], spread, "spread double")
 
 
 @query("x05_explode_map", "SELECT r_regionkey, k, v FROM region, (VALUES ('a', 1), ('b', 2)) t(k, v)")
@@ -139,16 +143,14 @@ class Point:
         self.x, self.y = x, y
 
 
-@query("x15_user_defined_type", "SELECT 1.0::DOUBLE AS x, 4.0::DOUBLE AS y")
+@query("x15_user_defined_type", "SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) AS x, n_regionkey * 2.0::DOUBLE AS y FROM nation")
 def user_defined_type(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.createDataFrame([(Point(1.0, 2.0),)], T.StructType([T.StructField("p", PointType())]))
-
-    @F.udf(PointType())
-    def grow(p):
-        return Point(p.x, p.y * 2)
-
-    p = df.select(grow("p").alias("p")).first().p
-    return spark.createDataFrame([(p.x, p.y)], "x double, y double")
+    """Points made, changed and taken apart by functions, of a type of their own in between."""
+    made = F.udf(lambda x, y: Point(float(x), float(y)), PointType())
+    grown = F.udf(lambda p: Point(p.x, p.y * 2), PointType())
+    ends = F.udf(lambda p: (p.x, p.y), "x double, y double")
+    p = table(spark, d, "nation").select("n_nationkey", ends(grown(made("n_nationkey", "n_regionkey"))).alias("p"))
+    return p.select("n_nationkey", "p.x", "p.y")
 
 
 @query("x17_shared_variables", "SELECT count(*) AS seen, CAST(sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM customer")

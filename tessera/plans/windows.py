@@ -97,7 +97,6 @@ sql_query("u04_except", "nation supplier", "SELECT n_nationkey AS k FROM nation
 sql_query("u06_union_chain", "region nation", "SELECT r_name AS s FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region")
 
 
-@query("u07_subtract_keeps_no_copies", "SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 5)")
+@query("u07_subtract_keeps_no_copies", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def subtract(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").filter("s_suppkey < 5").select("s_nationkey")
-    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(s)
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("k")).subtract(table(spark, d, "supplier").select("s_suppkey"))

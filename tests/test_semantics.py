@@ -8,22 +8,23 @@ from tessera.sources import readers
 
 
 @pytest.fixture(scope="module")
-def sales(spark):
-    return spark.createDataFrame([("dotNET", 2012, 10000.0), ("Java", 2012, 20000.0), ("dotNET", 2012, 5000.0), ("dotNET", 2013, 48000.0), ("Java", 2013, 30000.0)], "course string, year int, earnings double")
+def harvest(spark):
+    return spark.createDataFrame([("north", 7, 4.0), ("south", 7, 1.5), ("north", 8, 2.5), ("north", 8, 3.0), ("south", 9, 6.0), ("south", 9, None)], "field string, month int, tons double")
 
 
 def got(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-def test_rollup_and_cube(sales):
-    total = [("Java", 2012, 20000.0), ("Java", 2013, 30000.0), ("dotNET", 2012, 15000.0), ("dotNET", 2013, 48000.0), ("Java", None, 50000.0), ("dotNET", None, 63000.0), (None, None, 113000.0)]
-    assert got(sales.rollup("course", "year").agg(F.sum("earnings"))) == sorted(total, key=str)
-    assert got(sales.cube("course", "year").agg(F.sum("earnings"))) == sorted([*total, (None, 2012, 35000.0), (None, 2013, 78000.0)], key=str)
+def test_rollup_and_cube(harvest):
+    by_month = [("north", 7, 4.0), ("north", 8, 5.5), ("south", 7, 1.5), ("south", 9, 6.0)]
+    by_field = [("north", None, 9.5), ("south", None, 7.5), (None, None, 17.0)]
+    assert got(harvest.rollup("field", "month").agg(F.sum("tons"))) == sorted([*by_month, *by_field], key=str)
+    assert got(harvest.cube("field", "month").agg(F.sum("tons"))) == sorted([*by_month, *by_field, (None, 7, 5.5), (None, 8, 5.5), (None, 9, 6.0)], key=str)
 
 
-def test_pivot(sales):
-    assert got(sales.groupBy("year").pivot("course", ["dotNET", "Java"]).agg(F.sum("earnings"))) == [(2012, 15000.0, 20000.0), (2013, 48000.0, 30000.0)]
+def test_pivot(harvest):
+    assert got(harvest.groupBy("month").pivot("field", ["south", "north", "west"]).agg(F.sum("tons"))) == [(7, 1.5, 4.0, None), (8, None, 5.5, None), (9, 6.0, None, None)]
 
 
 def test_grouping_presence(spark):
@@ -84,3 +85,87 @@ def test_page_rank_of_a_star(spark):
 def test_components_of_a_long_chain(spark):
     chain = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {r.component for r in graphs.connected_components(chain).collect()} == {0}
+
+
+@pytest.mark.parametrize("parts,block", [(1, 100_000), (5, 7), (9, 3), (40, 1)])
+def test_sliding_over_partitions(spark, parts, block):
+    t = spark.range(50).select(((F.col("id") * 37) % 50).alias("k"), ((F.col("id") * 37) % 50 * 2).cast("string").alias("v")).repartition(parts)
+    for size in (1, 3, 12):
+        want = [(k, [str(2 * (k + j)) for j in range(size)]) for k in range(50 - size + 1)]
+        assert sorted((r.k, r.window) for r in rows.sliding(t, "k", "v", size, block).collect()) == want
+    assert rows.sliding(t.limit(0), "k", "v", 2).count() == 0
+    gaps = spark.createDataFrame([(1, None), (2, "b"), (3, None)], "k int, v string")
+    assert got(rows.sliding(gaps, "k", "v", 2)) == [(1, [None, "b"]), (2, ["b", None])]
+
+
+def test_indexed_is_global(spark):
+    t = spark.range(300).select(((F.col("id") * 7) % 300).alias("k")).repartition(11)
+    assert all(r.row.k == r["index"] for r in rows.indexed(t, "k").collect())
+    assert sorted(r["index"] for r in rows.indexed(t.select(F.lit(1).alias("k")), "k").collect()) == list(range(300))
+
+
+def test_typed_aggregate_merges_buffers(spark):
+    how = grouping.Aggregator(zero=lambda: (0, 0), reduce=lambda b, f: (b[0] + len(f), b[1] + int(f.x.fillna(0).sum())), merge=lambda a, b: (a[0] + b[0], a[1] + b[1]), finish=lambda b: f"{b[0]}/{b[1]}")
+    t = spark.range(1000).select(F.when(F.col("id") % 10 > 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("x")).repartition(6)
+    want = got(t.groupBy("k").agg(F.concat_ws("/", F.count("*"), F.sum("x"))))
+    assert got(grouping.typed_aggregate(t, ["k"], ["x"], how, "s string")) == want
+    assert got(grouping.typed_aggregate(t, ["k"], ["x"], how, "s string", most_keys=1)) == want
+    assert got(grouping.typed_aggregate(t.limit(0), ["k"], ["x"], how, "s string")) == []
+
+
+def test_svd_plus_plus_equals_its_formulas(spark):
+    """A round in plain loops from the same start, compared with the joins; many rounds come closer to the ratings."""
+    import math
+
+    ratings = [(u, 100 + i, float(1 + (u * i) % 5)) for u in range(6) for i in range(5) if (u + i) % 3]
+    df = spark.createDataFrame(ratings, "src long, dst long, rating double")
+    users, items, mean = graphs.svd_plus_plus(df, rank=2, rounds=0)
+    p, norm = {r.id: r.p for r in users.collect()}, {r.id: r.norm for r in users.collect()}
+    q, y = {r.id: r.q for r in items.collect()}, {r.id: r.y for r in items.collect()}
+    rated = {u: [i for v, i, _ in ratings if v == u] for u in p}
+    assert mean == pytest.approx(sum(r for *_, r in ratings) / len(ratings)) and norm[1] == pytest.approx(1 / math.sqrt(len(rated[1])))
+    v = {u: [p[u][k] + norm[u] * sum(y[i][k] for i in rated[u]) for k in range(2)] for u in p}
+    err = {(u, i): r - min(max(mean + sum(q[i][k] * v[u][k] for k in range(2)), 0.0), 5.0) for u, i, r in ratings}
+    users, items, _ = graphs.svd_plus_plus(df, rank=2, rounds=1)
+    for r in users.collect():
+        assert r.b == pytest.approx(0.007 * sum(err[r.id, i] for i in rated[r.id]))
+        assert r.p == pytest.approx([p[r.id][k] + 0.007 * sum(err[r.id, i] * q[i][k] - 0.015 * p[r.id][k] for i in rated[r.id]) for k in range(2)])
+    for r in items.collect():
+        own = [u for u in rated if r.id in rated[u]]
+        assert r.q == pytest.approx([q[r.id][k] + 0.007 * sum(err[u, r.id] * v[u][k] - 0.015 * q[r.id][k] for u in own) for k in range(2)])
+        assert r.y == pytest.approx([y[r.id][k] + 0.007 * sum(err[u, r.id] * norm[u] * q[r.id][k] - 0.015 * y[r.id][k] for u in own) for k in range(2)])
+    error = []
+    for n in (0, 6):
+        found = graphs.svd_guess(df, *graphs.svd_plus_plus(df, rank=2, rounds=n, pace=(0.05, 0.05)))
+        error.append(found.agg(F.avg(F.pow(F.col("rating") - F.col("guess"), 2))).first()[0])
+    assert error[1] < error[0]
+
+
+def test_triangles_and_strong_components_by_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(14), rng.randrange(14)) for _ in range(60)]
+    df, ids = spark.createDataFrame(edges, "src long, dst long"), {x for e in edges for x in e}
+    near = {frozenset(e) for e in edges if e[0] != e[1]}
+    want = {i: sum(all(frozenset(x) in near for x in itertools.combinations(t, 2)) for t in itertools.combinations(sorted(ids), 3) if i in t) for i in ids}
+    assert {r.id: r.triangles for r in graphs.triangle_count(df).collect()} == want
+    some = edges[:22]
+    reach = {i: {i} for e in some for i in e}
+    for _ in reach:
+        for a, b in some:
+            for i in reach:
+                if a in reach[i]:
+                    reach[i].add(b)
+    want = {i: min(j for j in reach[i] if i in reach[j]) for i in reach}
+    got_strong = graphs.strongly_connected_components(spark.createDataFrame(some, "src long, dst long"))
+    assert {r.id: r.component for r in got_strong.collect()} == want
+
+
+def test_jdbc_ranges_cover_the_whole_range(spark):
+    url, driver = "jdbc:derby:memory:ranges_test;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    readers.write_jdbc(spark.range(40).coalesce(1), url, "numbers", mode="overwrite", driver=driver)
+    for parts in (1, 3, 50):
+        df = readers.jdbc_ranges(spark, url, 'SELECT "id" FROM numbers WHERE "id" >= ? AND "id" <= ?', 5, 17, parts, driver=driver)
+        assert sorted(r[0] for r in df.collect()) == list(range(5, 18))
