@@ -10,23 +10,23 @@ from tessera.sources.tables import table
 
 sql_query(
     "f_math_rounding", "lineitem",
-    "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS f_abs, CAST(ceil(l_extendedprice) AS BIGINT) AS f_ceil, CAST(ceiling(l_tax) AS BIGINT) AS f_ceiling, CAST(floor(l_extendedprice) AS BIGINT) AS f_floor, round(l_tax, 1) AS f_round, sign(l_discount - 0.05) AS f_sign, -l_quantity AS f_negative, +l_quantity AS f_positive FROM lineitem WHERE l_orderkey < 300",
-    "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS f_abs, CAST(ceil(l_extendedprice) AS BIGINT) AS f_ceil, CAST(ceiling(l_tax) AS BIGINT) AS f_ceiling, CAST(floor(l_extendedprice) AS BIGINT) AS f_floor, round(l_tax, 1) AS f_round, CAST(sign(l_discount - 0.05) AS DOUBLE) AS f_sign, -l_quantity AS f_negative, +l_quantity AS f_positive FROM lineitem WHERE l_orderkey < 300",
+    "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS f_abs, CAST(ceil(l_extendedprice) AS BIGINT) AS f_ceil, CAST(ceiling(l_tax) AS BIGINT) AS f_ceiling, CAST(floor(l_extendedprice) AS BIGINT) AS f_floor, round(l_tax, 1) AS f_round, sign(l_discount - 0.05) AS f_sign, -l_quantity AS f_negative, +l_quantity AS f_positive FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS f_abs, CAST(ceil(l_extendedprice) AS BIGINT) AS f_ceil, CAST(ceiling(l_tax) AS BIGINT) AS f_ceiling, CAST(floor(l_extendedprice) AS BIGINT) AS f_floor, round(l_tax, 1) AS f_round, CAST(sign(l_discount - 0.05) AS DOUBLE) AS f_sign, -l_quantity AS f_negative, +l_quantity AS f_positive FROM lineitem",
 )
 sql_query(
     "f_math_powers", "lineitem",
-    "SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity), 9) AS f_sqrt, round(cbrt(l_quantity), 9) AS f_cbrt, round(exp(l_tax), 9) AS f_exp, round(expm1(l_tax), 9) AS f_expm1, round(ln(l_quantity), 9) AS f_ln, round(log10(l_quantity), 9) AS f_log10, round(log2(l_quantity), 9) AS f_log2, round(log1p(l_tax), 9) AS f_log1p, round(log(3, l_quantity), 9) AS f_log, round(pow(l_quantity, 2), 6) AS f_pow, round(power(l_quantity, 0.5), 9) AS f_power, round(hypot(l_quantity, l_tax), 9) AS f_hypot FROM lineitem WHERE l_orderkey < 300",
-    "SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity), 9) AS f_sqrt, round(cbrt(l_quantity), 9) AS f_cbrt, round(exp(l_tax), 9) AS f_exp, round(exp(l_tax) - 1, 9) AS f_expm1, round(ln(l_quantity), 9) AS f_ln, round(log10(l_quantity), 9) AS f_log10, round(log2(l_quantity), 9) AS f_log2, round(ln(1 + l_tax), 9) AS f_log1p, round(ln(l_quantity) / ln(3), 9) AS f_log, round(pow(l_quantity, 2), 6) AS f_pow, round(power(l_quantity, 0.5), 9) AS f_power, round(sqrt(l_quantity * l_quantity + l_tax * l_tax), 9) AS f_hypot FROM lineitem WHERE l_orderkey < 300",
+    "SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity), 9) AS f_sqrt, round(cbrt(l_quantity), 9) AS f_cbrt, round(exp(l_tax), 9) AS f_exp, round(expm1(l_tax), 9) AS f_expm1, round(ln(l_quantity), 9) AS f_ln, round(log10(l_quantity), 9) AS f_log10, round(log2(l_quantity), 9) AS f_log2, round(log1p(l_tax), 9) AS f_log1p, round(log(3, l_quantity), 9) AS f_log, round(pow(l_quantity, 2), 6) AS f_pow, round(power(l_quantity, 0.5), 9) AS f_power, round(hypot(l_quantity, l_tax), 9) AS f_hypot FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity), 9) AS f_sqrt, round(cbrt(l_quantity), 9) AS f_cbrt, round(exp(l_tax), 9) AS f_exp, round(exp(l_tax) - 1, 9) AS f_expm1, round(ln(l_quantity), 9) AS f_ln, round(log10(l_quantity), 9) AS f_log10, round(log2(l_quantity), 9) AS f_log2, round(ln(1 + l_tax), 9) AS f_log1p, round(ln(l_quantity) / ln(3), 9) AS f_log, round(pow(l_quantity, 2), 6) AS f_pow, round(power(l_quantity, 0.5), 9) AS f_power, round(sqrt(l_quantity * l_quantity + l_tax * l_tax), 9) AS f_hypot FROM lineitem",
 )
 sql_query(
     "f_math_trigonometry", "lineitem",
-    "SELECT l_orderkey, l_linenumber, round(acos(l_tax), 9) AS f_acos, round(asin(l_tax), 9) AS f_asin, round(atan(l_tax), 9) AS f_atan, round(atan2(l_tax, l_quantity), 9) AS f_atan2, round(cos(l_quantity), 9) AS f_cos, round(cosh(l_tax), 9) AS f_cosh, round(sin(l_quantity), 9) AS f_sin, round(sinh(l_tax), 9) AS f_sinh, round(tan(l_tax), 9) AS f_tan, round(tanh(l_tax), 9) AS f_tanh, round(degrees(l_tax), 9) AS f_degrees, round(e(), 9) AS f_e, round(pi(), 9) AS f_pi FROM lineitem WHERE l_orderkey < 300",
-    "SELECT l_orderkey, l_linenumber, round(acos(l_tax), 9) AS f_acos, round(asin(l_tax), 9) AS f_asin, round(atan(l_tax), 9) AS f_atan, round(atan2(l_tax, l_quantity), 9) AS f_atan2, round(cos(l_quantity), 9) AS f_cos, round(cosh(l_tax), 9) AS f_cosh, round(sin(l_quantity), 9) AS f_sin, round(sinh(l_tax), 9) AS f_sinh, round(tan(l_tax), 9) AS f_tan, round(tanh(l_tax), 9) AS f_tanh, round(degrees(l_tax), 9) AS f_degrees, round(exp(1), 9) AS f_e, round(pi(), 9) AS f_pi FROM lineitem WHERE l_orderkey < 300",
+    "SELECT l_orderkey, l_linenumber, round(acos(l_tax), 9) AS f_acos, round(asin(l_tax), 9) AS f_asin, round(atan(l_tax), 9) AS f_atan, round(atan2(l_tax, l_quantity), 9) AS f_atan2, round(cos(l_quantity), 9) AS f_cos, round(cosh(l_tax), 9) AS f_cosh, round(sin(l_quantity), 9) AS f_sin, round(sinh(l_tax), 9) AS f_sinh, round(tan(l_tax), 9) AS f_tan, round(tanh(l_tax), 9) AS f_tanh, round(degrees(l_tax), 9) AS f_degrees, round(e(), 9) AS f_e, round(pi(), 9) AS f_pi FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, round(acos(l_tax), 9) AS f_acos, round(asin(l_tax), 9) AS f_asin, round(atan(l_tax), 9) AS f_atan, round(atan2(l_tax, l_quantity), 9) AS f_atan2, round(cos(l_quantity), 9) AS f_cos, round(cosh(l_tax), 9) AS f_cosh, round(sin(l_quantity), 9) AS f_sin, round(sinh(l_tax), 9) AS f_sinh, round(tan(l_tax), 9) AS f_tan, round(tanh(l_tax), 9) AS f_tanh, round(degrees(l_tax), 9) AS f_degrees, round(exp(1), 9) AS f_e, round(pi(), 9) AS f_pi FROM lineitem",
 )
 sql_query(
     "f_math_integers", "orders",
-    "SELECT o_orderkey, bin(o_orderkey) AS f_bin, hex(o_orderkey) AS f_hex, conv(CAST(o_orderkey AS STRING), 10, 16) AS f_conv, factorial(CAST(o_orderkey % 15 AS INT)) AS f_factorial, pmod(o_orderkey, 9) AS f_pmod, shiftleft(o_orderkey, 3) AS f_shiftleft, shiftright(o_orderkey, 2) AS f_shiftright, shiftrightunsigned(o_orderkey, 1) AS f_shiftrightunsigned, signum(CAST(o_orderkey AS DOUBLE)) AS f_signum, rint(CAST(o_orderkey AS DOUBLE) / 4) AS f_rint FROM orders WHERE o_orderkey < 400",
-    "SELECT o_orderkey, bin(o_orderkey) AS f_bin, hex(o_orderkey) AS f_hex, hex(o_orderkey) AS f_conv, CAST(factorial(CAST(o_orderkey % 15 AS INT)) AS BIGINT) AS f_factorial, o_orderkey % 9 AS f_pmod, o_orderkey << 3 AS f_shiftleft, o_orderkey >> 2 AS f_shiftright, o_orderkey >> 1 AS f_shiftrightunsigned, CAST(sign(o_orderkey) AS DOUBLE) AS f_signum, round_even(o_orderkey / 4, 0) AS f_rint FROM orders WHERE o_orderkey < 400",
+    "SELECT o_orderkey, bin(o_orderkey) AS f_bin, hex(o_orderkey) AS f_hex, conv(CAST(o_orderkey AS STRING), 10, 16) AS f_conv, factorial(CAST(o_orderkey % 15 AS INT)) AS f_factorial, pmod(o_orderkey, 9) AS f_pmod, shiftleft(o_orderkey, 3) AS f_shiftleft, shiftright(o_orderkey, 2) AS f_shiftright, shiftrightunsigned(o_orderkey, 1) AS f_shiftrightunsigned, signum(CAST(o_orderkey AS DOUBLE)) AS f_signum, rint(CAST(o_orderkey AS DOUBLE) / 4) AS f_rint FROM orders",
+    "SELECT o_orderkey, bin(o_orderkey) AS f_bin, hex(o_orderkey) AS f_hex, hex(o_orderkey) AS f_conv, CAST(factorial(CAST(o_orderkey % 15 AS INT)) AS BIGINT) AS f_factorial, o_orderkey % 9 AS f_pmod, o_orderkey << 3 AS f_shiftleft, o_orderkey >> 2 AS f_shiftright, o_orderkey >> 1 AS f_shiftrightunsigned, CAST(sign(o_orderkey) AS DOUBLE) AS f_signum, round_even(o_orderkey / 4, 0) AS f_rint FROM orders",
 )
 sql_query(
     "f_text_basic", "part",
@@ -38,15 +38,17 @@ sql_query(
     "SELECT p_partkey, instr(p_name, 'a') AS f_instr, locate('a', p_name) AS f_locate, find_in_set(substr(p_brand, 1, 7), 'Brand#1,Brand#2,Brand#3') AS f_find_in_set, levenshtein(p_name, p_type) AS f_levenshtein, regexp_extract(p_brand, '([0-9])([0-9]*)', 1) AS f_regexp_extract, regexp_replace(p_name, '[aeiou]', '*') AS f_regexp_replace, translate(p_name, 'abc', 'xyz') AS f_translate, substr(p_name, 2, 3) AS f_substr, substring(p_name, 3) AS f_substring, substring_index(p_brand, '#', 1) AS f_substring_index, lpad(p_brand, 12, '*') AS f_lpad, rpad(p_brand, 12, '*') AS f_rpad, size(split(p_name, ' ')) AS f_split FROM part",
     "SELECT p_partkey, CAST(instr(p_name, 'a') AS INT) AS f_instr, CAST(instr(p_name, 'a') AS INT) AS f_locate, coalesce(list_position(['Brand#1','Brand#2','Brand#3'], substr(p_brand, 1, 7)), 0) AS f_find_in_set, CAST(levenshtein(p_name, p_type) AS INT) AS f_levenshtein, regexp_extract(p_brand, '([0-9])([0-9]*)', 1) AS f_regexp_extract, regexp_replace(p_name, '[aeiou]', '*', 'g') AS f_regexp_replace, translate(p_name, 'abc', 'xyz') AS f_translate, substr(p_name, 2, 3) AS f_substr, substring(p_name, 3) AS f_substring, split_part(p_brand, '#', 1) AS f_substring_index, lpad(p_brand, 12, '*') AS f_lpad, rpad(p_brand, 12, '*') AS f_rpad, CAST(len(string_split(p_name, ' ')) AS INT) AS f_split FROM part",
 )
+#: Sound classes of a name's letters: vowels and what is no letter are 0 and part equal ones; H and W don't.
+_CODES = "string_split(translate(upper(p_name[1]), 'AEIOUYHWBFPVCGJKQSXZDTLMNR', '00000077111122222222334556') || replace(regexp_replace(translate(upper(p_name[2:]), 'AEIOUYHWBFPVCGJKQSXZDTLMNR', '00000077111122222222334556'), '[^0-9]', '0', 'g'), '7', ''), '')"
 sql_query(
     "f_text_codes", "part",
-    "SELECT p_partkey, base64(encode(p_name, 'UTF-8')) AS f_base64, decode(unbase64(base64(encode(p_name, 'UTF-8'))), 'UTF-8') AS f_unbase64, hex(p_brand) AS f_hex, decode(unhex(hex(p_brand)), 'UTF-8') AS f_unhex, initcap(lower(p_type)) = initcap(p_type) AS f_initcap, format_string('%s:%05d', p_brand, p_partkey) AS f_format_string, printf('%d', p_size) AS f_printf, format_number(p_retailprice, 2) AS f_format_number, soundex('Robert') AS f_soundex FROM part",
-    "SELECT p_partkey, base64(encode(p_name)) AS f_base64, p_name AS f_unbase64, hex(p_brand) AS f_hex, p_brand AS f_unhex, true AS f_initcap, printf('%s:%05d', p_brand, p_partkey) AS f_format_string, CAST(p_size AS VARCHAR) AS f_printf, format('{:,.2f}', round(p_retailprice, 2)) AS f_format_number, 'R163' AS f_soundex FROM part",
+    "SELECT p_partkey, base64(encode(p_name, 'UTF-8')) AS f_base64, decode(unbase64(base64(encode(p_name, 'UTF-8'))), 'UTF-8') AS f_unbase64, hex(p_brand) AS f_hex, decode(unhex(hex(p_brand)), 'UTF-8') AS f_unhex, initcap(lower(p_type)) = initcap(p_type) AS f_initcap, format_string('%s:%05d', p_brand, p_partkey) AS f_format_string, printf('%d', p_size) AS f_printf, format_number(p_retailprice, 2) AS f_format_number, soundex(p_name) AS f_soundex FROM part",
+    f"SELECT p_partkey, base64(encode(p_name)) AS f_base64, p_name AS f_unbase64, hex(p_brand) AS f_hex, p_brand AS f_unhex, true AS f_initcap, printf('%s:%05d', p_brand, p_partkey) AS f_format_string, CAST(p_size AS VARCHAR) AS f_printf, format('{{:,.2f}}', round(p_retailprice, 2)) AS f_format_number, CASE WHEN upper(p_name[1]) BETWEEN 'A' AND 'Z' THEN rpad(upper(p_name[1]) || array_to_string(list_filter(list_filter({_CODES}, lambda x, i: i = 1 OR x <> ({_CODES})[i - 1])[2:], lambda x: x <> '0')[1:3], ''), 4, '0') ELSE p_name END AS f_soundex FROM part",
 )
 sql_query(
     "f_hashes", "part",
-    "SELECT p_partkey, md5(p_name) AS f_md5, sha(p_name) AS f_sha, sha1(p_name) AS f_sha1, sha2(p_name, 256) AS f_sha2, crc32('Spark') AS f_crc32 FROM part",
-    "SELECT p_partkey, md5(p_name) AS f_md5, sha1(p_name) AS f_sha, sha1(p_name) AS f_sha1, sha256(p_name) AS f_sha2, CAST(1557323817 AS BIGINT) AS f_crc32 FROM part",
+    "SELECT p_partkey, md5(p_name) AS f_md5, sha(p_name) AS f_sha, sha1(p_name) AS f_sha1, sha2(p_name, 256) AS f_sha2, crc32(p_name) AS f_crc32 FROM part",
+    "SELECT p_partkey, md5(p_name) AS f_md5, sha1(p_name) AS f_sha, sha1(p_name) AS f_sha1, sha256(p_name) AS f_sha2, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(p_name, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) AS f_crc32 FROM part",
 )
 sql_query(
     "f_dates_fields", "orders",

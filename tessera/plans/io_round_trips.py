@@ -26,9 +26,11 @@ for _f in ("parquet", "orc", "json", "csv"):
     query(f"s01_{_f}", _NATION)(_trip(_f))
 
 
-@query("s02_no_paths", "SELECT 1 AS x WHERE false")
+@query("s02_no_paths", "SELECT r_regionkey, CAST(NULL AS INTEGER) AS x FROM region")
 def no_paths(spark: SparkSession, d: str) -> DataFrame:
-    return readers.parquet(spark, [], "x int")
+    """No paths are an empty table, which joins like any other."""
+    none = readers.parquet(spark, [], "x int")
+    return table(spark, d, "region").select("r_regionkey").join(none, F.col("r_regionkey") == F.col("x"), "left")
 
 
 @query("s03_pushdown", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 48 AND l_returnflag = 'R'")
@@ -46,18 +48,23 @@ def json_corrupt(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("a long, _corrupt_record string").json(path)
 
 
-@query("s06_json_inference", "SELECT 'a:bigint,b:double,c:string,d:array<string>,e:struct<x:boolean>,f:string' AS s")
+@query("s06_json_inference", "SELECT n_nationkey AS a, n_nationkey / 2 AS b, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) ELSE n_name END AS c, n_name AS d, n_regionkey > 2 AS e, 'bigint,double,string,array<string>,struct<x:boolean>' AS kinds FROM nation")
 def json_inference(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "inferred")
-    lines = ['{"a":1,"b":1,"c":1,"d":[],"e":{"x":true}}', '{"a":2,"b":2.5,"c":"x","d":["q"],"f":""}']
-    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
-    return spark.createDataFrame([(",".join(f"{n}:{t}" for n, t in spark.read.json(path).dtypes),)], "s string")
-
-
-@query("s07_json_options", "SELECT CAST(7 AS BIGINT) AS a, 'x' AS b")
+    """Types are inferred over all rows: whole and broken numbers give doubles, numbers and texts give strings."""
+    path, k = scratch(spark, "inferred"), F.col("n_nationkey")
+    half = F.when(k % 2 == 0, (k / 2).cast("int").cast("string")).otherwise((k / 2).cast("string"))
+    mixed = F.when(k % 2 == 0, k.cast("string")).otherwise(F.concat(F.lit('"'), "n_name", F.lit('"')))
+    line = F.format_string('{"a":%d,"b":%s,"c":%s,"d":["%s"],"e":{"x":%s}}', k, half, mixed, F.col("n_name"), (F.col("n_regionkey") > 2).cast("string"))
+    table(spark, d, "nation").select(line.alias("value")).write.text(path)
+    got = spark.read.json(path)
+    kinds = ",".join(t for _, t in got.dtypes)
+    return got.select("a", "b", "c", F.col("d")[0].alias("d"), F.col("e.x").alias("e"), F.lit(kinds).alias("kinds"))
+
+
+@query("s07_json_options", "SELECT CAST(n_nationkey AS BIGINT) AS a, n_name AS b FROM nation")
 def json_options(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "options")
-    spark.createDataFrame([("{a: 007, 'b': 'x'} // note",)], "value string").write.text(path)
+    table(spark, d, "nation").select(F.format_string("{a: 00%d, 'b': '%s'} // note", "n_nationkey", "n_name").alias("value")).write.text(path)
     return spark.read.options(allowComments=True, allowUnquotedFieldNames=True, allowSingleQuotes=True, allowNumericLeadingZeros=True).json(path)
 
 
@@ -118,21 +125,34 @@ def partitioned(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).filter("n_regionkey = 2")
 
 
-@query("s27_save_modes", "SELECT CAST(2 AS BIGINT) AS appended, CAST(1 AS BIGINT) AS overwritten, CAST(1 AS BIGINT) AS ignored, true AS refused")
+@query("s27_save_modes", "SELECT mode, n_name, copies, refused FROM nation, (VALUES ('append', 2, false), ('overwrite', 1, false), ('ignore', 1, false), ('error', 1, true)) t(mode, copies, refused)")
 def save_modes(spark: SparkSession, d: str) -> DataFrame:
-    path, one = scratch(spark, "modes"), spark.range(1)
-    one.write.parquet(path)
-    one.write.mode("append").parquet(path)
-    appended = spark.read.parquet(path).count()
-    one.write.mode("overwrite").parquet(path)
-    over = spark.read.parquet(path).count()
-    one.write.mode("ignore").parquet(path)
-    try:
-        one.write.mode("error").parquet(path)
-        refused = False
-    except Exception:
-        refused = True
-    return spark.createDataFrame([(appended, over, spark.read.parquet(path).count(), refused)], "appended long, overwritten long, ignored long, refused boolean")
+    """What a table that is there becomes by writing the nations once more in each mode."""
+    t, out = table(spark, d, "nation").select("n_name"), None
+    for mode in ("append", "overwrite", "ignore", "error"):
+        path = scratch(spark, mode)
+        t.write.parquet(path)
+        try:
+            t.write.mode(mode).parquet(path)
+            refused = False
+        except Exception:
+            refused = True
+        found = spark.read.parquet(path).groupBy("n_name").agg(F.count("*").cast("int").alias("copies")).select(F.lit(mode).alias("mode"), "n_name", "copies", F.lit(refused).alias("refused"))
+        out = found if out is None else out.union(found)
+    return out
+
+
+@query("s29_save", "SELECT format, n_nationkey, n_name FROM nation, (VALUES ('parquet'), ('orc'), ('json'), ('csv')) t(format)")
+def save(spark: SparkSession, d: str) -> DataFrame:
+    """One writer, four formats, by format() and save() and by the formats' own names."""
+    t, out = table(spark, d, "nation").select("n_nationkey", "n_name"), None
+    for fmt in ("parquet", "orc", "json", "csv"):
+        named, saved = scratch(spark, fmt), scratch(spark, fmt)
+        getattr(t.filter("n_nationkey % 2 = 0").write, fmt)(named)
+        t.filter("n_nationkey % 2 = 1").write.format(fmt).save(saved)
+        both = spark.read.schema(t.schema).format(fmt).load([named, saved]).select(F.lit(fmt).alias("format"), "n_nationkey", "n_name")
+        out = both if out is None else out.union(both)
+    return out
 
 
 @query("s30_insert_into", f"{_NATION} UNION ALL {_NATION} WHERE n_regionkey = 1")
@@ -178,12 +198,16 @@ def multi_insert(spark: SparkSession, d: str) -> DataFrame:
     return spark.table("part_low").withColumn("part", F.lit("low")).union(spark.table("part_high").withColumn("part", F.lit("high")))
 
 
-@query("s36_whole_and_binary_files", "SELECT CAST(1 AS BIGINT) AS whole, CAST(1 AS BIGINT) AS binary_files, CAST(3 AS BIGINT) AS pairs")
+@query("s36_whole_and_binary_files", "SELECT r_regionkey, r_name, length(r_name) + 1 AS bytes, r_name || chr(10) AS whole FROM region")
 def whole_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file a region, read whole as text and as bytes; a sequence file of pairs joins the two."""
     path, seq = scratch(spark, "whole"), scratch(spark, "sequence")
-    spark.createDataFrame([("a",), ("b",)], "value string").coalesce(1).write.text(path)
-    whole = spark.read.text(path, wholetext=True).filter(F.col("value") == "a\nb\n").count()
-    binary = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).filter("length = 4").count()
-    spark.sparkContext.parallelize([(1, "x"), (2, "y"), (3, "z")]).saveAsSequenceFile(seq)
-    pairs = spark.sparkContext.sequenceFile(seq).count()
-    return spark.createDataFrame([(whole, binary, pairs)], "whole long, binary_files long, pairs long")
+    t = table(spark, d, "region")
+    t.select("r_name", F.col("r_name").alias("part")).write.partitionBy("part").text(path)
+    whole = spark.read.text(path, wholetext=True).select("part", F.col("value").alias("whole"))
+    binary = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(path)
+    binary = binary.select(F.regexp_extract("path", "part=([^/]+)", 1).alias("part"), F.col("length").alias("bytes"))
+    t.rdd.map(lambda r: (r.r_regionkey, r.r_name)).saveAsSequenceFile(seq)
+    pairs = spark.createDataFrame(spark.sparkContext.sequenceFile(seq), "r_regionkey int, r_name string")
+    both = whole.join(binary, "part").withColumnRenamed("part", "r_name")
+    return pairs.join(both, "r_name").select("r_regionkey", "r_name", "bytes", "whole")

@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.rows import indexed
 from tessera.registry import query
 from tessera.sources.tables import table
 
@@ -16,11 +17,16 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return t.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("label") % 2).cast("double").alias("label"))
 
 
-@query("m01_pipeline", "SELECT count(*) AS n FROM part")
+@query("m01_pipeline", "WITH b AS (SELECT p_brand, row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1 AS i FROM part GROUP BY 1) SELECT p_partkey, CAST(i AS DOUBLE) AS brand, round(p_size / (SELECT stddev_samp(p_size) FROM part), 9) AS size, CASE WHEN i = (SELECT max(i) FROM b) THEN 0 ELSE 1 END AS hot FROM part JOIN b USING (p_brand)")
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
-    stages = [feature.StringIndexer(inputCol="p_brand", outputCol="brand"), feature.OneHotEncoder(inputCol="brand", outputCol="hot"), feature.VectorAssembler(inputCols=["hot", "p_size"], outputCol="features"), feature.StandardScaler(inputCol="features", outputCol="scaled")]
+    stages = [
+        feature.StringIndexer(inputCol="p_brand", outputCol="brand"), feature.OneHotEncoder(inputCol="brand", outputCol="hot"),
+        feature.VectorAssembler(inputCols=["p_size"], outputCol="sizes"), feature.StandardScaler(inputCol="sizes", outputCol="scaled"),
+    ]
     t = table(spark, d, "part")
-    return Pipeline(stages=stages).fit(t).transform(t).filter("scaled is not null").agg(F.count("*").alias("n"))
+    out = Pipeline(stages=stages).fit(t).transform(t)
+    hot = F.aggregate(vector_to_array("hot"), F.lit(0.0), lambda a, x: a + x).cast("int")
+    return out.select("p_partkey", "brand", F.round(vector_to_array("scaled")[0], 9).alias("size"), hot.alias("hot"))
 
 
 @query("m02_transformers", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END::DOUBLE AS big, CASE WHEN p_size < 10 THEN 0.0 WHEN p_size < 30 THEN 1.0 ELSE 2.0 END::DOUBLE AS bucket FROM part")
@@ -31,12 +37,14 @@ def transformers(spark: SparkSession, d: str) -> DataFrame:
     return t.select("p_partkey", "big", "bucket")
 
 
-@query("m02_text_features", "SELECT count(*) AS n FROM documents")
+@query("m02_text_features", "WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS term FROM documents), n AS (SELECT count(*) AS m FROM documents), f AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM w WHERE term <> '' GROUP BY 1) SELECT term, round(ln((m + 1.0) / (df + 1.0)), 9) AS idf FROM f, n")
 def text_features(spark: SparkSession, d: str) -> DataFrame:
+    """The inverse document frequency of every word."""
     t = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     w = feature.RegexTokenizer(inputCol="text", outputCol="words").transform(t)
-    tf = feature.HashingTF(inputCol="words", outputCol="tf", numFeatures=512).transform(w)
-    return feature.IDF(inputCol="tf", outputCol="tfidf").fit(tf).transform(tf).filter("tfidf is not null").agg(F.count("*").alias("n"))
+    counts = feature.CountVectorizer(inputCol="words", outputCol="tf", vocabSize=1 << 20).fit(w)
+    idf = feature.IDF(inputCol="tf", outputCol="tfidf").fit(counts.transform(w))
+    return spark.createDataFrame([(x, round(float(y), 9)) for x, y in zip(counts.vocabulary, idf.idf.toArray())], "term string, idf double")
 
 
 @query("m03_sql_transformer", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
@@ -44,29 +52,61 @@ def sql_transformer(spark: SparkSession, d: str) -> DataFrame:
     return feature.SQLTransformer(statement="SELECT n_regionkey, count(*) AS n FROM __THIS__ GROUP BY n_regionkey").transform(table(spark, d, "nation"))
 
 
-@query("m04_classification")
+@query("m04_classification", "SELECT l_returnflag, round(avg(CASE WHEN l_linenumber > 3 THEN 1.0 ELSE 0.0 END), 4) AS chance FROM lineitem GROUP BY 1")
 def classify(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    return classification.LogisticRegression(maxIter=10).fit(v).transform(v).select("vec_id", "prediction")
+    """A logistic regression with an indicator for each value fits the shares of those values."""
+    t = table(spark, d, "lineitem").select("l_returnflag", F.when(F.col("l_linenumber") > 3, 1.0).otherwise(0.0).alias("label"))
+    t = feature.StringIndexer(inputCol="l_returnflag", outputCol="i").fit(t).transform(t)
+    t = feature.OneHotEncoder(inputCol="i", outputCol="features").fit(t).transform(t)
+    m = classification.LogisticRegression(maxIter=200, tol=1e-12).fit(t)
+    return m.transform(t).groupBy("l_returnflag").agg(F.round(F.avg(vector_to_array("probability")[1]), 4).alias("chance"))
 
 
-@query("m05_regression", "SELECT true AS close")
+@query("m05_regression", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS start, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
 def regress(spark: SparkSession, d: str) -> DataFrame:
-    t = feature.VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(table(spark, d, "lineitem").select("l_quantity", (F.col("l_quantity") * 3 + 2).alias("label")))
-    m = regression.LinearRegression().fit(t)
-    return spark.createDataFrame([(abs(m.coefficients[0] - 3) < 1e-6 and abs(m.intercept - 2) < 1e-6,)], "close boolean")
+    t = feature.VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(table(spark, d, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("label")))
+    m = regression.LinearRegression(solver="normal").fit(t)
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 4), round(float(m.intercept), 3), round(float(m.summary.r2), 6))], "slope double, start double, r2 double")
 
 
-@query("m06_clustering")
+def _far_apart(spark: SparkSession, d: str, groups) -> DataFrame:
+    """Nations as points on a line, those of a group close together and the groups far apart."""
+    t = table(spark, d, "nation").select("n_nationkey", (groups * 1000 + F.col("n_nationkey") % 7).cast("double").alias("x"))
+    return feature.VectorAssembler(inputCols=["x"], outputCol="features").transform(t)
+
+
+def _named_by_least(assigned: DataFrame) -> DataFrame:
+    """Clusters have any numbers: each is called by its least member."""
+    least = assigned.groupBy("prediction").agg(F.min("n_nationkey").alias("cluster"))
+    return assigned.join(least, "prediction").select("n_nationkey", "cluster")
+
+
+@query("m06_clustering", "SELECT n_nationkey, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS cluster FROM nation")
 def cluster(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    return clustering.KMeans(k=4, seed=1, maxIter=5).fit(v).transform(v).groupBy("prediction").agg(F.count("*").alias("n"))
+    v = _far_apart(spark, d, F.col("n_regionkey"))
+    return _named_by_least(clustering.KMeans(k=5, seed=1, initSteps=10, maxIter=20).fit(v).transform(v))
+
+
+@query("m06_bisecting", "SELECT n_nationkey, min(n_nationkey) OVER (PARTITION BY n_regionkey < 2) AS cluster FROM nation")
+def bisecting(spark: SparkSession, d: str) -> DataFrame:
+    v = _far_apart(spark, d, F.when(F.col("n_regionkey") < 2, 0).otherwise(1))
+    return _named_by_least(clustering.BisectingKMeans(k=2, seed=1).fit(v).transform(v))
 
 
-@query("m07_frequent_patterns")
+@query("m06_mixture", "SELECT n_nationkey, min(n_nationkey) OVER (PARTITION BY n_regionkey < 2) AS cluster FROM nation")
+def mixture(spark: SparkSession, d: str) -> DataFrame:
+    v = _far_apart(spark, d, F.when(F.col("n_regionkey") < 2, 0).otherwise(1))
+    return _named_by_least(clustering.GaussianMixture(k=2, seed=3, maxIter=50).fit(v).transform(v))
+
+
+_BASKETS = "SELECT l_orderkey, max(l_returnflag = 'A') AS a, max(l_returnflag = 'N') AS n, max(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1"
+
+
+@query("m07_frequent_patterns", f"WITH b AS ({_BASKETS}), s AS (SELECT * FROM (VALUES ('A', true, false, false), ('N', false, true, false), ('R', false, false, true), ('A,N', true, true, false), ('A,R', true, false, true), ('N,R', false, true, true), ('A,N,R', true, true, true)) t(items, x, y, z)) SELECT items, count(*) AS freq FROM b JOIN s ON (a OR NOT x) AND (n OR NOT y) AND (r OR NOT z) GROUP BY items HAVING count(*) >= 0.1 * (SELECT count(*) FROM b)")
 def patterns(spark: SparkSession, d: str) -> DataFrame:
     baskets = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("items"))
-    return fpm.FPGrowth(itemsCol="items", minSupport=0.1).fit(baskets).freqItemsets
+    found = fpm.FPGrowth(itemsCol="items", minSupport=0.1).fit(baskets).freqItemsets
+    return found.select(F.array_join(F.sort_array("items"), ",").alias("items"), "freq")
 
 
 @query("m08_correlation", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS c FROM lineitem")
@@ -75,25 +115,36 @@ def correlation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(round(float(stat.Correlation.corr(t, "v").first()[0][0, 1]), 6),)], "c double")
 
 
-@query("m09_evaluation", "SELECT 0.75::DOUBLE AS accuracy")
+_GUESS = "CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END"
+_TRUTH = "CASE WHEN l_extendedprice > 30000 THEN 1.0 ELSE 0.0 END"
+
+
+@query("m09_evaluation", f"WITH t AS (SELECT {_GUESS} AS p, {_TRUTH} AS y FROM lineitem) SELECT round(avg(CASE WHEN p = y THEN 1.0 ELSE 0.0 END), 9) AS accuracy, round(count(*) FILTER (WHERE p = 1 AND y = 1) / count(*) FILTER (WHERE p = 1), 9) AS precision, round(count(*) FILTER (WHERE p = 1 AND y = 1) / count(*) FILTER (WHERE y = 1), 9) AS recall, round(sqrt(avg((p - y) * (p - y))), 9) AS rmse FROM t")
 def evaluate(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 0.0)], "prediction double, label double")
-    return spark.createDataFrame([(evaluation.MulticlassClassificationEvaluator(metricName="accuracy").evaluate(t),)], "accuracy double")
+    t = table(spark, d, "lineitem").select(F.expr(_GUESS).cast("double").alias("prediction"), F.expr(_TRUTH).cast("double").alias("label"))
+    of = lambda name: evaluation.MulticlassClassificationEvaluator(metricName=name, metricLabel=1.0).evaluate(t)
+    rmse = evaluation.RegressionEvaluator(metricName="rmse").evaluate(t)
+    out = [round(x, 9) for x in (of("accuracy"), of("precisionByLabel"), of("recallByLabel"), rmse)]
+    return spark.createDataFrame([out], "accuracy double, precision double, recall double, rmse double")
 
 
-@query("m10_tuning", "SELECT true AS chosen")
+@query("m10_tuning", "SELECT 0.0::DOUBLE AS chosen, round(regr_slope(l_quantity * l_quantity, l_quantity), 6) AS slope FROM lineitem")
 def tune(spark: SparkSession, d: str) -> DataFrame:
-    v, lr = vectors(spark, d), classification.LogisticRegression(maxIter=3)
-    grid = tuning.ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).build()
-    m = tuning.TrainValidationSplit(estimator=lr, estimatorParamMaps=grid, evaluator=evaluation.BinaryClassificationEvaluator(), seed=1).fit(v)
-    return spark.createDataFrame([(m.bestModel is not None,)], "chosen boolean")
+    """Of three penalties the one that spoils nothing wins; the best model is fitted on all rows."""
+    t = feature.VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(table(spark, d, "lineitem").select("l_quantity", (F.col("l_quantity") * F.col("l_quantity")).alias("label")))
+    lr = regression.LinearRegression(solver="normal")
+    grid = tuning.ParamGridBuilder().addGrid(lr.regParam, [500.0, 0.0, 50.0]).build()
+    m = tuning.CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=evaluation.RegressionEvaluator(), numFolds=2, seed=1).fit(t)
+    return spark.createDataFrame([(m.bestModel.getRegParam(), round(float(m.bestModel.coefficients[0]), 6))], "chosen double, slope double")
 
 
-@query("m11_recommendation", "SELECT true AS rated")
+@query("m11_recommendation", "SELECT n_nationkey AS user, r_regionkey AS item, CAST((n_nationkey + 1) * (r_regionkey + 2) AS DOUBLE) AS guess FROM nation, region")
 def recommend(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "events").groupBy(F.col("user_id").cast("int").alias("user"), (F.col("event_id") % 20).cast("int").alias("item")).agg(F.avg("value").alias("rating"))
-    m = recommendation.ALS(rank=3, maxIter=2, seed=1).fit(r)
-    return m.transform(r).agg((F.count("prediction") > 0).alias("rated"))
+    """Ratings that are a product of a number of the user's and one of the item's are found again."""
+    n, r = table(spark, d, "nation").select(F.col("n_nationkey").alias("user")), table(spark, d, "region").select(F.col("r_regionkey").alias("item"))
+    t = n.crossJoin(r).withColumn("rating", ((F.col("user") + 1) * (F.col("item") + 2)).cast("float"))
+    m = recommendation.ALS(rank=1, maxIter=30, regParam=1e-9, seed=1).fit(t)
+    return m.transform(t).select("user", "item", F.round("prediction").cast("double").alias("guess"))
 
 
 @query("m12_coordinate_matrix", "WITH a AS (SELECT n_regionkey AS i, n_nationkey AS j, 1.0::DOUBLE AS v FROM nation) SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM a JOIN a b ON a.j = b.j GROUP BY 1, 2")
@@ -126,22 +177,23 @@ def async_actions(spark: SparkSession, d: str) -> DataFrame:
         return spark.createDataFrame([(n.result(), first.result())], "n long, first long")
 
 
-@query("r19_persist", "SELECT count(*) AS n FROM customer")
+@query("r19_persist", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
 def persist(spark: SparkSession, d: str) -> DataFrame:
     from pyspark import StorageLevel
 
     t = table(spark, d, "customer").persist(StorageLevel.MEMORY_AND_DISK)
-    n = t.count()
+    assert t.storageLevel.useMemory and t.storageLevel.useDisk
+    kept = t.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    assert "InMemoryTableScan" in kept._jdf.queryExecution().executedPlan().toString()
+    rows = kept.collect()
     t.unpersist()
-    return spark.createDataFrame([(n,)], "n long")
+    return spark.createDataFrame(rows, kept.schema)
 
 
-@query("r20_range_partitions", "SELECT true AS apart")
+@query("r20_range_partitions", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM orders")
 def range_partitions(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "orders").repartitionByRange(4, "o_orderkey").select("o_orderkey", F.spark_partition_id().alias("p"))
-    g = t.groupBy("p").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
-    both = g.alias("a").join(g.alias("b"), F.expr("a.p < b.p and a.hi > b.lo"))
-    return both.agg((F.count("*") == 0).alias("apart"))
+    """Partitions by range hold keys that don't overlap: places within them and their sizes give places in the whole."""
+    return indexed(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("row.o_orderkey", "index")
 
 
 @query("m_vector_arrays", "SELECT vec_id, CAST(len(embedding) AS INT) AS n FROM embeddings")

@@ -141,9 +141,14 @@ def na_drop(spark: SparkSession, d: str) -> DataFrame:
     return _labelled(spark, d).na.drop(how="any", subset=["quality", "toxic"])
 
 
-@query("p30_sample")
+@query("p30_sample", "SELECT l_returnflag, count(*) AS n, true AS near, true AS once FROM lineitem GROUP BY 1")
 def sample(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").sample(False, 0.1, 7).select("l_orderkey", "l_linenumber")
+    """About a tenth of each flag's rows (six standard deviations of room), none of them twice."""
+    t, keys = table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    taken = t.sample(False, 0.1, 7).groupBy("l_returnflag", *keys).agg(F.count("*").alias("k")).groupBy("l_returnflag").agg(F.sum("k").alias("taken"), F.max("k").alias("most"))
+    most = t.groupBy("l_returnflag", *keys).agg(F.count("*").alias("k")).groupBy("l_returnflag").agg(F.sum("k").alias("n"), F.max("k").alias("copies"))
+    near = F.abs(F.col("taken") - 0.1 * F.col("n")) <= 6 * F.sqrt(0.09 * F.col("n"))
+    return most.join(taken, "l_returnflag").select("l_returnflag", "n", near.alias("near"), (F.col("most") <= F.col("copies")).alias("once"))
 
 
 @query("p31_random_split", "SELECT count(*) AS n FROM orders")
@@ -152,9 +157,10 @@ def random_split(spark: SparkSession, d: str) -> DataFrame:
     return a.union(b).union(c).agg(F.count("*").alias("n"))
 
 
-@query("p32_sample_by")
+@query("p32_sample_by", "SELECT event_id, event_type FROM events WHERE event_type = 'click'")
 def sample_by(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").sampleBy("event_type", {"click": 0.5, "view": 0.1}, 3).select("event_id", "event_type")
+    """All of one stratum, none of another, and none of those that have no fraction."""
+    return table(spark, d, "events").sampleBy("event_type", {"click": 1.0, "view": 0.0}, 3).select("event_id", "event_type")
 
 
 @query("p33_bucket_sample", "SELECT count(*) AS n FROM customer")
@@ -163,7 +169,7 @@ def bucket_sample(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).agg(F.count("*").alias("n"))
 
 
-sql_query("p33_tablesample_rows", "orders", "SELECT count(*) AS n FROM (SELECT * FROM orders TABLESAMPLE (50 ROWS))", "SELECT CAST(50 AS BIGINT) AS n")
+sql_query("p33_tablesample_rows", "orders nation", "SELECT count(DISTINCT o_orderkey) AS n, (SELECT count(*) FROM nation TABLESAMPLE (50 ROWS)) AS every FROM (SELECT * FROM orders TABLESAMPLE (50 ROWS)) WHERE o_orderkey IN (SELECT o_orderkey FROM orders)", "SELECT least(50, (SELECT count(*) FROM orders)) AS n, count(*) AS every FROM nation")
 
 
 @query("p34_describe", "SELECT 'count' AS summary, CAST(count(l_quantity) AS VARCHAR) AS l_quantity FROM lineitem UNION ALL SELECT 'min', CAST(min(l_quantity) AS VARCHAR) FROM lineitem UNION ALL SELECT 'max', CAST(max(l_quantity) AS VARCHAR) FROM lineitem")

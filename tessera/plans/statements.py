@@ -10,10 +10,12 @@ from tessera.registry import query, sql_query
 from tessera.sources.tables import table, views
 
 
-@query("d01_set", "SELECT 'spark.tessera.example' AS key, '7' AS value")
+@query("d01_set", "SELECT n_name, '3' AS value FROM nation WHERE n_regionkey = 3")
 def set_statement(spark: SparkSession, d: str) -> DataFrame:
-    spark.sql("SET spark.tessera.example=7")
-    return spark.sql("SET spark.tessera.example").select("key", "value")
+    """A variable is set, read back and put in place of its name."""
+    views(spark, d, "nation").sql("SET spark.tessera.example=3")
+    value = spark.sql("SET spark.tessera.example").first().value
+    return spark.sql("SELECT n_name FROM nation WHERE n_regionkey = ${spark.tessera.example}").withColumn("value", F.lit(value))
 
 
 @query("d02_cache_table", "SELECT count(*) AS n, true AS cached, true AS gone FROM nation")
@@ -26,9 +28,11 @@ def cache_table(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, cached, gone)], "n long, cached boolean, gone boolean")
 
 
-@query("d03_explain", "SELECT true AS physical")
+@query("d03_explain", "SELECT column_name AS name FROM (DESCRIBE customer) WHERE column_name IN ('c_custkey', 'c_acctbal')")
 def explain(spark: SparkSession, d: str) -> DataFrame:
-    return views(spark, d, "nation").sql("EXPLAIN EXTENDED SELECT * FROM nation").select(F.col("plan").contains("Physical Plan").alias("physical"))
+    """The columns that the plan says it reads."""
+    plan = views(spark, d, "customer").sql("EXPLAIN SELECT c_custkey FROM customer WHERE c_acctbal > 0")
+    return plan.select(F.explode(F.regexp_extract_all("plan", F.lit("[<,]([a-z_]+):"), F.lit(1))).alias("name"))
 
 
 @query("d04_describe", "SELECT * FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) t(col_name, data_type)")
@@ -36,16 +40,19 @@ def describe(spark: SparkSession, d: str) -> DataFrame:
     return views(spark, d, "region").sql("DESCRIBE region").select("col_name", "data_type")
 
 
-@query("d05_show_tables", "SELECT 'region' AS name, true AS temporary")
+@query("d05_show_tables", "SELECT table_name AS name, true AS temporary FROM information_schema.tables WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem')")
 def show_tables(spark: SparkSession, d: str) -> DataFrame:
-    return views(spark, d, "region").sql("SHOW TABLES").filter("tableName = 'region'").select(F.col("tableName").alias("name"), F.col("isTemporary").alias("temporary"))
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+    shown = views(spark, d, *names).sql("SHOW TABLES").filter(F.col("tableName").isin(names))
+    return shown.select(F.col("tableName").alias("name"), F.col("isTemporary").alias("temporary"))
 
 
-@query("d06_describe_function", "SELECT true AS listed, true AS told")
+@query("d06_describe_function", "SELECT r_regionkey, upper(r_name) AS x, true AS told FROM region")
 def describe_function(spark: SparkSession, d: str) -> DataFrame:
-    listed = spark.sql("SHOW FUNCTIONS LIKE 'upper'").count() == 1
-    told = any("upper" in r[0] for r in spark.sql("DESCRIBE FUNCTION upper").collect())
-    return spark.createDataFrame([(listed, told)], "listed boolean, told boolean")
+    """The function that is listed under a pattern is described, and called by the name found."""
+    name = spark.sql("SHOW USER FUNCTIONS LIKE 'shout*'").count() == 0 and spark.sql("SHOW FUNCTIONS LIKE 'upper'").first()[0]
+    told = any(name in r[0] for r in spark.sql(f"DESCRIBE FUNCTION {name}").collect())
+    return table(spark, d, "region").select("r_regionkey", F.call_function(name, "r_name").alias("x"), F.lit(told).alias("told"))
 
 
 def _fresh(spark: SparkSession, *names: str) -> None:
@@ -67,13 +74,18 @@ def temporary_view(spark: SparkSession, d: str) -> DataFrame:
     return spark.table("over_file")
 
 
-@query("d08_refresh", "SELECT CAST(2 AS BIGINT) AS n")
+@query("d08_refresh", "SELECT n_name, 2 AS copies FROM nation")
 def refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Files that were added behind the catalog's back are seen once the table is refreshed."""
     _fresh(spark, "grown")
-    spark.sql(f"CREATE TABLE grown (x INT) USING parquet LOCATION '{scratch(spark, 'grown')}'")
-    spark.sql("INSERT INTO grown VALUES (1), (2)")
+    path = scratch(spark, "grown")
+    t = table(spark, d, "nation").select("n_name")
+    t.write.parquet(path)
+    spark.sql(f"CREATE TABLE grown (n_name STRING) USING parquet LOCATION '{path}'")
+    assert spark.table("grown").count() == t.count()
+    t.write.mode("append").parquet(path)
     spark.sql("REFRESH TABLE grown")
-    return spark.sql("SELECT count(*) AS n FROM grown")
+    return spark.sql("SELECT n_name, CAST(count(*) AS INT) AS copies FROM grown GROUP BY n_name")
 
 
 @query("d09_create_view", "SELECT c_custkey FROM customer WHERE c_acctbal < 0")
@@ -82,21 +94,28 @@ def create_view(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT * FROM in_debt")
 
 
-@query("d10_analyze", "SELECT true AS measured")
+@query("d10_analyze", "SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS kinds, min(c_custkey) AS least, max(c_custkey) AS most FROM customer")
 def analyze(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics that the catalog keeps of a table and its columns."""
     _fresh(spark, "measured")
-    table(spark, d, "region").write.option("path", scratch(spark, "measured")).saveAsTable("measured")
-    spark.sql("ANALYZE TABLE measured COMPUTE STATISTICS")
-    rows = spark.sql("DESCRIBE EXTENDED measured").filter("col_name = 'Statistics'").collect()
-    return spark.createDataFrame([("5 rows" in rows[0].data_type,)], "measured boolean")
+    table(spark, d, "customer").write.option("path", scratch(spark, "measured")).saveAsTable("measured")
+    spark.sql("ANALYZE TABLE measured COMPUTE STATISTICS FOR ALL COLUMNS")
+    told = spark.sql("DESCRIBE EXTENDED measured").filter("col_name = 'Statistics'").select(F.regexp_extract("data_type", "([0-9]+) rows", 1).cast("long").alias("n"))
+    of = lambda c, what: spark.sql(f"DESCRIBE EXTENDED measured {c}").filter(F.col("info_name") == what).select(F.col("info_value").cast("long"))
+    parts = [told, of("c_mktsegment", "distinct_count").toDF("kinds"), of("c_custkey", "min").toDF("least"), of("c_custkey", "max").toDF("most")]
+    return spark.createDataFrame([tuple(p.first()[0] for p in parts)], "n long, kinds long, least long, most long")
 
 
-@query("d11_drop_table", "SELECT false AS there")
+@query("d11_drop_table", "SELECT 'place_' || r_regionkey AS name FROM region WHERE r_regionkey <> 2")
 def drop_table(spark: SparkSession, d: str) -> DataFrame:
-    _fresh(spark, "short_lived")
-    spark.range(3).write.option("path", scratch(spark, "short")).saveAsTable("short_lived")
-    spark.sql("DROP TABLE short_lived")
-    return spark.createDataFrame([(spark.catalog.tableExists("short_lived"),)], "there boolean")
+    """A table for each region, of which one is dropped."""
+    keys = [r.r_regionkey for r in table(spark, d, "region").select("r_regionkey").collect()]
+    for k in keys:
+        _fresh(spark, f"place_{k}")
+        table(spark, d, "region").filter(F.col("r_regionkey") == k).write.option("path", scratch(spark, "place")).saveAsTable(f"place_{k}")
+    spark.sql("DROP TABLE place_2")
+    left = [(f"place_{k}",) for k in keys if spark.catalog.tableExists(f"place_{k}")]
+    return spark.createDataFrame(left, "name string")
 
 
 sql_query("d12_cte", "orders customer", "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 200000), who AS (SELECT DISTINCT o_custkey FROM big) SELECT c_custkey FROM customer JOIN who ON c_custkey = o_custkey")
