@@ -1 +1 @@
-"""Operators for large text corpora. Nothing outside this subpackage imports it."""
+"""Operators for large text corpora; nothing outside this package imports it. Ids are bigints: null ones and those that are no numbers keep their rows."""

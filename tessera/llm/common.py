@@ -16,11 +16,13 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset (tests) a local one is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local one is made, in local mode alone."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None)
     if at:
         return at
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tessera-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -51,6 +53,11 @@ def discard(*tables: DataFrame) -> None:
         _files(df.sparkSession, df.written_at).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at), True)
 
 
+def numbered(id_col: str) -> Column:
+    """An id column as bigint. What is no number counts as a null id, in every operator of this package."""
+    return F.col(f"`{id_col}`").try_cast("long")
+
+
 def text_bytes(col: str = "text") -> Column:
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(col).cast("string").cast("binary"), F.lit("").cast("binary"))
@@ -71,7 +78,7 @@ def signed(x: int) -> int:
 
 
 def _labelled_ids(labels: DataFrame, label: str, where: Column | None) -> DataFrame:
-    rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
+    rows = labels.select(numbered("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
     rows = rows.filter(where) if where is not None else rows
     return rows.groupBy("_id").agg(F.max("_label").alias("_label"))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, bounded_batches, text_bytes
+from tessera.llm.common import batch, bounded_batches, numbered, text_bytes
 
 #: Element ids, marker bits included.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -308,7 +308,7 @@ def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     out.append((i, *[None] * 7, str(e)))
             yield batch(schema, *(zip(*out) if out else ([],) * 9))
 
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{media_col}`").cast("binary").alias("media"))
+    rows = df.select(numbered(id_col).alias("id"), F.col(f"`{media_col}`").cast("binary").alias("media"))
     return rows.mapInArrow(run, "id long, track long, timestamp_ns long, keyframe boolean, lacing int, lace_index int, begin long, end long, fault string")
 
 
@@ -345,5 +345,5 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
                 out.append((i, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(media, m, back)))
             yield batch(schema, *(zip(*out) if out else ([],) * 8))
 
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_bytes(text_col).alias("t"))
+    rows = df.select(numbered(id_col).alias("doc_id"), text_bytes(text_col).alias("t"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

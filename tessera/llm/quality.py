@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import class_weights, let, sample_ids
+from tessera.llm.common import class_weights, let, numbered, sample_ids
 
 #: What separates words, and the characters that count as symbols.
 BLANKS, SYMBOLS = r"\x20\x09-\x0D", "#*$%&|<>"
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> list[Rule
     """Rules from labels (doc_id, quality): 0 is bad. At most sample labelled documents of each class, those of smallest hash, reach the driver,
     as five numbers each; each counts with the number of labels of its class for one that was sampled. Labels that are null, or of documents that aren't there, don't count; without labels there are no rules."""
     ids = sample_ids(labels, "quality", sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(ids), "_id")
+    rows = docs.select(numbered("doc_id").alias("_id"), "text").join(F.broadcast(ids), "_id")
     rows = rows.select("_id", "_label", statistics(F.col("text")).alias("s")).select("_id", "_label", "s.*").filter("n_words > 0")
     rows = rows.select("_id", "_label", *[F.expr(e).alias(f) for f, e in FEATURES.items()])
     got = sorted(map(tuple, rows.limit(4 * sample).collect()))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, bounded_batches, signed, text_bytes, written
+from tessera.llm.common import batch, bounded_batches, numbered, signed, text_bytes, written
 from tessera.llm.graph import star_forest
 
 BITS, BYTES = 64, 8
@@ -43,7 +43,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield batch(schema, b.column(0), b.column(1), [signed(fingerprint(x, shingle, seed)) for x in b.column(2).to_pylist()])
 
     t = text_bytes(text_col)
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("h"), t.alias("t")).mapInArrow(run, "doc_id long, h long, fp long")
+    return df.select(numbered(id_col).alias("doc_id"), F.xxhash64(t).alias("h"), t.alias("t")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def hex64(col: str) -> Column:
@@ -176,7 +176,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     best = best.agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("h"))).alias("keep_h"), F.first("component_id").alias("keep_id")).select("keep_id", "keep_h")
     # df's columns are carried in a struct by their place, so that no name of theirs can clash
     row = F.struct(*[F.col(f"`{c}`").alias(f"_{j}") for j, c in enumerate(df.columns)])
-    rows = df.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_bytes(text_col)).alias("h"))
+    rows = df.select(row.alias("row"), numbered(id_col).alias("id"), F.xxhash64(text_bytes(text_col)).alias("h"))
     kept = rows.join(written(best, "kept"), F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")), "left_semi")
     kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))).filter("n = 1")
     return kept.select(*[F.col(f"row._{j}").alias(c) for j, c in enumerate(df.columns)])

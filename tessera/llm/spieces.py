@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, bounded_batches
+from tessera.llm.common import batch, bounded_batches, numbered
 
 SPACE = "▁"
 
@@ -264,5 +264,5 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
             out = [m.digest(t.as_py() or "") for t in b.column(1)]
             yield batch(schema, b.column(0), *(zip(*out) if out else ([],) * 4))
 
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = df.select(numbered(id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")

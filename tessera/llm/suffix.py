@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, bounded_batches, discard, text_bytes, written
+from tessera.llm.common import batch, bounded_batches, discard, numbered, text_bytes, written
 
 GRAM, BLOCK = 8, 1 << 19
 #: Fixed value: the bytes that separate words.
@@ -350,7 +350,7 @@ def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The first five are about byte strings: what is removed and what is left. n_repeated_words counts the words that strings of words cover
     which also start elsewhere, such as passages shorter than a byte string; nothing is removed for them. Ids that aren't numbers are null.
     """
-    found = repeats(df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), [bytes_of, words_of])
+    found = repeats(df.select(numbered(id_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), [bytes_of, words_of])
     fields = [(c, pa.int64()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [("kept_sha256", pa.string()), ("n_repeated_words", pa.int64())]
     schema = pa.schema(fields)
 

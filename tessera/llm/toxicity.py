@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, bounded_batches, class_weights, sample_ids, written
+from tessera.llm.common import batch, bounded_batches, class_weights, numbered, sample_ids, written
 
 SENTENCE, WORD = re.compile(r"[^.!?…。！？\n]+"), re.compile(r"[^\W\d_]+")
 STEMS = (3, 4, 5, 6)
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, bytes_each: in
     """
     trained = F.crc32(F.col("_id").cast("string")) % 4 != 2
     ids = sample_ids(labels, "toxic", sample, trained)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(ids), "_id")
+    rows = docs.select(numbered("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(ids), "_id")
     rows = written(rows.groupBy("_id", "_label").agg(F.min("text").alias("text")), "toxicity-sample")  # one row of ids that repeat
     sizes = rows.select("_id", "_label", F.octet_length("text").alias("n"), F.xxhash64("_id").alias("h")).orderBy("h", "_id").limit(4 * sample).collect()
     room, take, seen, taken = {0: bytes_each, 1: bytes_each}, set(), {0: 0, 1: 0}, {0: 0, 1: 0}
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out.append((i, held, p, int(p >= threshold), len(s), *worst[:2]))
             yield batch(schema, *(zip(*out) if out else ([],) * 7))
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(numbered(id_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_sentences long, worst_begin long, worst_end long")
 
@@ -198,7 +198,7 @@ def locate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 out += [(i, a, z, t[a:z], p) for a, z, x in m.sentences(t, scores) if (p := noisy_or([x])) >= threshold]
             yield batch(schema, *(zip(*out) if out else ([],) * 5))
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(numbered(id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, begin long, end long, sentence string, score double")
 
 
