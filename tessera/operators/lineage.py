@@ -13,10 +13,12 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir; a temporary folder where that is unset, in local mode alone."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at:
         return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tessera-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
