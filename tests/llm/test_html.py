@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -65,3 +66,57 @@ def test_closed_deep_elements_stay_apart():
     page = "<div>" * 600 + "deep" + "</div>" * 600 + f"<article><p>{P}</p></article>"
     assert html.extract(page) == P
     assert html.extract("<div>" * 600 + f"<p>{P}</p><nav>no</nav><p>{P}</p>" + "</div>" * 600) == f"{P} {P}"
+
+
+def slow_extract(page):
+    """The scoring in plain loops: every text walks to the root for its points, its size, and whether it's chosen."""
+    root = html.tree(page)
+    found = html.blocks(root) or html.blocks(root, html.HARD)
+    if not found:
+        return ""
+
+    def up(x):
+        while x is not None:
+            yield x
+            x = x.parent
+
+    inner = ("p", "pre", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "td", "blockquote")
+    points, size, linked = {}, {}, {}
+    for node, text, links in found:
+        p = 0 if links > len(text) / 2 else 1 + text.count(",") + min(len(text) // 100, 3)
+        for level, x in enumerate(up(node.parent if node.tag in inner and node.parent else node)):
+            points[x] = points.get(x, 0.0) + p / (1, 2, 6, 9)[min(level, 3)] / (1 if level < 4 else level)
+        for x in up(node):
+            size[x], linked[x] = size.get(x, 0) + len(text), linked.get(x, 0) + links
+    value = {x: (points.get(x, 0.0) + (25 if x.main else 0)) * (1 - min(1.0, linked[x] / max(1, size[x]))) for x in size}
+    best = max(value, key=lambda x: value[x])  # the first of equals
+    for x in up(best):
+        best = x if x.main else best
+    chosen = {best}
+    for x in best.parent.children if best.parent else ():
+        if isinstance(x, html.Node) and x is not best and x in size and not x.around:
+            strong = value[x] >= max(5.0, value[best] / 5)
+            if x.main and strong if best.main else strong or (x.tag in ("p", "h1") and linked[x] < 0.25 * size[x] and (size[x] >= 80 or x.tag == "h1")):
+                chosen.add(x)
+    return " ".join(text for node, text, _ in found if any(x in chosen for x in up(node)))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_scoring_equals_plain_loops(seed):
+    rng = random.Random(seed)
+
+    def some(depth):
+        out = ""
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.35 or depth > 5:
+                out += f"<p>{' '.join(rng.choices(['word', 'comma,', 'longer', '<a>link text</a>', '<b>bold</b>'], k=rng.randint(1, 40)))}</p>"
+            elif kind < 0.45:
+                out += "".join(f"<li><a>entry {k}</a></li>" for k in range(rng.randint(1, 5)))
+            else:
+                tag = rng.choice(["div", "div", "section", "article", "td", "ul", "div class=sidebar", "main", "blockquote", "h1"])
+                out += f"<{tag}>{some(depth + 1)}" + (f"</{tag.split()[0]}>" if rng.random() < 0.9 else "")
+        return out
+
+    page = f"<html><body>{some(0)}</body></html>"
+    assert html.extract(page) == slow_extract(page)

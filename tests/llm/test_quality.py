@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -50,6 +51,57 @@ def test_learn():
     assert all((noise & Q.holds(r, x, n)).sum() >= 0.9 * Q.holds(r, x, n).sum() for r in Q.learn(x, noise))
 
 
+def slow_learn(x, bad, weight, rules=8, tests=4, precision=0.9, least=10):
+    """Sequential covering that tries every threshold between two values of every feature by counting rows."""
+    n, left, out = len(bad), set(range(len(bad))), []
+    total = lambda rows, y: sum(weight[i] for i in rows if bad[i] == y)
+    covers = lambda r, rows: {i for i in rows if all((x[f][i] >= c) == above for f, above, c in r)}
+    while len(out) < rules and sum(bad[i] for i in left) >= least:
+        rule, on = [], {i for i in left if i % 3 != 2}
+        while len(rule) < tests and any(bad[i] for i in on) and any(not bad[i] for i in on):
+            p0, best = total(on, True), (1e-9, None)
+            before = math.log2(p0 / (p0 + total(on, False)))
+            for f in sorted(x):
+                values = sorted({x[f][i] for i in on})
+                for above in (False, True):
+                    for a, b in zip(values, values[1:]):
+                        test = (f, above, float((a + b) / 2))
+                        got = covers([test], on)
+                        p, q = total(got, True), total(got, False)
+                        if p and p * (math.log2(p / (p + q)) - before) > best[0] + 1e-9:
+                            best = (p * (math.log2(p / (p + q)) - before), test)
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            on = covers([best[1]], on)
+
+        def worth(r):
+            c = {i for i in covers(r, left) if i % 3 == 2}
+            p, q = total(c, True), total(c, False)
+            return (p - q) / (p + q) if p + q else -1.0
+
+        rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth, default=[])
+        c = covers(rule, left)
+        p, q = total(c, True), total(c, False)
+        if not rule or sum(bad[i] for i in c) < least or p < precision * (p + q) or worth(rule) < 2 * precision - 1:
+            break
+        out.append([tuple(t) for t in rule])
+        left -= c
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_covering_equals_plain_loops(seed):
+    rng = np.random.default_rng(seed)
+    n = 240
+    x = {f: np.round(rng.random(n), 2 if seed % 2 else 6) for f in Q.FEATURES}
+    bad = (x["symbols_per_word"] > 0.7) | ((x["repeat_share"] < 0.3) & (x["n_words"] > 0.6))
+    bad ^= rng.random(n) < 0.006
+    weight = np.where(bad, 1.0, 1.5 if seed > 1 else 1.0)
+    got = [[(t.feature, t.above, t.threshold) for t in r] for r in Q.learn(x, bad, weight=weight)]
+    assert got == slow_learn(x, bad, weight) and got
+
+
 def test_precision_is_that_of_all_labels():
     """The feature is high in every bad row and in 3 of 100 good ones: 0.97 of an evenly sampled table, but 0.62 of one with 20 good rows for each bad one."""
     n = 3000

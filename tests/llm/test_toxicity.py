@@ -90,3 +90,58 @@ def test_full_samples_keep_the_prior(spark):
     whole = T.train(docs, labels)
     for m in (T.train(docs, labels, sample=250), T.train(docs, labels, bytes_each=12_000)):
         assert abs(m.bias - whole.bias) < 0.6
+
+
+def slow_fit(texts, toxic, rounds, rate, ridge, strictness, weight):
+    """The training in plain loops over documents, sentences and words."""
+    sentences = [[w for w in ([x.lower() for x in T.WORD.findall(s)] for s in T.SENTENCE.findall(t)) if w] for t in texts]
+    features = lambda w: [w, *("^" + w[:k] for k in (3, 4, 5, 6) if len(w) > k)]
+    seen = [{f for s in d for w in s for f in features(w)} for d in sentences]
+    every, share = {f for x in seen for f in x}, sum(toxic) / len(toxic)
+    chosen = {}
+    for f in every:
+        n = sum(f in x for x in seen)
+        p = sum(f in x and y for x, y in zip(seen, toxic)) / n
+        if p > share:
+            tail = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)
+            if n * tail > strictness * math.log(1 + len(every)):
+                chosen[f] = 0.0
+    scale = len(texts) / sum(weight)
+    u = [x * scale for x in weight]
+    b = math.log(sum(x for x, y in zip(u, toxic) if y) / len(texts) / max(1.0, sum(x * len(d) for x, d in zip(u, sentences)) / len(texts)))
+    names = [*chosen, None]
+    m1, m2 = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0)
+    for r in range(1, rounds + 1):
+        grad = {f: ridge * chosen[f] for f in chosen} | {None: 0.0}
+        for d, y, x in zip(sentences, toxic, u):
+            z = [b + sum(chosen.get(f, 0.0) for w in s for f in features(w)) for s in d]
+            a = sum(math.log1p(math.exp(v)) for v in z)
+            push = x * (-1 / math.expm1(a) if y else 1.0) if d else 0.0
+            for s, v in zip(d, z):
+                g = push / (1 + math.exp(-v))
+                grad[None] += g
+                for w in s:
+                    for f in features(w):
+                        if f in chosen:
+                            grad[f] += g
+        for f in names:
+            g = grad[f] / len(texts)
+            m1[f], m2[f] = 0.9 * m1[f] + 0.1 * g, 0.999 * m2[f] + 0.001 * g * g
+            step = rate * (m1[f] / (1 - 0.9**r)) / (math.sqrt(m2[f] / (1 - 0.999**r)) + 1e-7)
+            if f is None:
+                b -= step
+            else:
+                chosen[f] -= step
+    return chosen, b
+
+
+@pytest.mark.parametrize("heavy", [1.0, 3.5])
+def test_training_equals_plain_loops(heavy):
+    rng = random.Random(11)
+    toxic = [int(rng.random() < 0.3) for _ in range(160)]
+    texts = [text(rng.randint(1, 5), t) for t in toxic]
+    weight = [1.0 if t else heavy for t in toxic]
+    m = T.fit(texts, toxic, rounds=7, weight=weight)
+    want, bias = slow_fit(texts, toxic, 7, 0.3, 0.1, 0.7, weight)
+    assert m.bias == pytest.approx(bias, abs=1e-9) and len(want) > 3
+    assert m.weights == {f: pytest.approx(w, abs=1e-4) for f, w in want.items() if abs(w) > 1e-3}

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -84,6 +85,56 @@ def test_trees_equal_their_expression(spark):
     assert U.boost({}, np.zeros(0, bool)) == (-np.inf, [])
 
 
+def slow_boost(x, bad, rounds, depth, rate, bins, least, ridge, gain):
+    """The trees in plain loops: every split of every feature by summing rows."""
+    n, names = len(bad), sorted(x)
+    start = math.log(bad.mean() / (1 - bad.mean()))
+    edges = {f: np.unique(np.quantile(x[f], np.linspace(0, 1, bins + 1)[1:-1])) for f in names}
+    z, trees = [start] * n, []
+
+    def grow(rows, g, h, level):
+        side = lambda s: sum(g[i] for i in s) ** 2 / (sum(h[i] for i in s) + ridge)
+        best = (gain, None)
+        if level < depth and len(rows) >= 2 * least:
+            for f in names:
+                for e in edges[f]:
+                    a, b = [i for i in rows if x[f][i] < e], [i for i in rows if x[f][i] >= e]
+                    if len(a) >= least and len(b) >= least and (side(a) + side(b) - side(rows)) / 2 > best[0] + 1e-9:
+                        best = ((side(a) + side(b) - side(rows)) / 2, (f, float(e), a, b))
+        if best[1] is None:
+            return round(-rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + ridge), 6)
+        f, e, a, b = best[1]
+        return (f, e, grow(a, g, h, level + 1), grow(b, g, h, level + 1))
+
+    def value(t, i):
+        return t if isinstance(t, float) else value(t[2] if x[t[0]][i] < t[1] else t[3], i)
+
+    for _ in range(rounds):
+        p = [1 / (1 + math.exp(-v)) for v in z]
+        t = grow(list(range(n)), [a - float(y) for a, y in zip(p, bad)], [a * (1 - a) for a in p], 0)
+        if isinstance(t, float):
+            break
+        trees.append(t)
+        z = [v + value(t, i) for i, v in enumerate(z)]
+    return start, trees
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_boosting_equals_plain_loops(seed):
+    rng = np.random.default_rng(seed)
+    x = {f: np.round(rng.random(150), 2) for f in ("a", "b", "c")}
+    bad = ((x["a"] > 0.5) & (x["b"] > 0.3)) ^ (rng.random(150) < 0.1)
+    how = {"rounds": 3, "depth": 2, "rate": 0.3, "bins": 8, "least": 10, "ridge": 1.0, "gain": 1.0}
+    start, trees = U.boost(x, bad, **how)
+    want_start, want = slow_boost(x, bad, **how)
+    assert start == pytest.approx(want_start) and len(trees) == len(want) > 0
+
+    def same(a, b):
+        return a == pytest.approx(b, abs=1e-5) if isinstance(a, float) else a[:2] == b[:2] and same(a[2], b[2]) and same(a[3], b[3])
+
+    assert all(map(same, trees, want))
+
+
 def test_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.org/en/5?x"), (2, "http://a.org/en/6"), (3, None), (4, "http://a.org/en/7"), (5, "http://a.org/99999999999999999999")], "page_id long, url string")
     labels = spark.createDataFrame([(5, 0, 0), (6, 1, 0), (6, 1, None), (7, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
