@@ -83,6 +83,29 @@ def row_formats(spark: SparkSession, d: str) -> DataFrame:
     return t.mapInArrow(there_and_back, t.schema)
 
 
+@query("r04_cogrouped_iterators", "SELECT r_name, count(n_nationkey) AS n, coalesce(max(n_name), '') AS last FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def cogrouped_iterators(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables grouped by one key and walked side by side."""
+    import pyarrow as pa
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, region = left.column("n_name").to_pylist(), right.column("r_name").to_pylist()
+        return pa.table({"r_name": region, "n": [len(names)] * len(region), "last": [max(names, default="")] * len(region)})
+
+    n, r = table(spark, d, "nation").groupBy("n_regionkey"), table(spark, d, "region").groupBy("r_regionkey")
+    return n.cogroup(r).applyInArrow(both, "r_name string, n long, last string")
+
+
+@query("r05_python_evaluation", "SELECT c_custkey, upper(c_name) AS a, length(c_name) + 1 AS b FROM customer WHERE c_acctbal > 0")
+def python_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Two functions are evaluated in one node of the plan, over the rows and columns that are left."""
+    up, size = F.pandas_udf(lambda s: s.str.upper(), "string"), F.pandas_udf(lambda s: s.str.len() + 1, "int")
+    out = table(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey", up("c_name").alias("a"), size("c_name").alias("b"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "GreaterThan(c_acctbal" in plan and "c_mktsegment" not in plan
+    return out
+
+
 @query("r06_executed_command", "SELECT 'kept' AS state, n_name FROM nation WHERE n_regionkey = 1")
 def executed_command(spark: SparkSession, d: str) -> DataFrame:
     """A command runs when it is stated, once, and its rows are kept: asking for them again doesn't run it again."""
@@ -117,6 +140,14 @@ def query_listener(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "status string, n long, ended_well boolean")
 
 
+@query("r10_local_scan", "SELECT n_nationkey, n_name FROM nation")
+def local_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that are here already are scanned without reading a file."""
+    out = spark.createDataFrame(table(spark, d, "nation").toArrow()).select("n_nationkey", "n_name")
+    assert "LocalTableScan" in out._jdf.queryExecution().executedPlan().toString()
+    return out
+
+
 @query("r11_local_operators", "SELECT n_name FROM nation WHERE n_regionkey = 1 UNION SELECT r_name FROM region WHERE r_regionkey < 3")
 def local_operators(spark: SparkSession, d: str) -> DataFrame:
     """Filters, projections, limits, unions and distinct rows of small tables that are already here."""
