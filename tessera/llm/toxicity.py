@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +65,51 @@ def noisy_or(logits: list[float]) -> float:
     return -math.expm1(-a)
 
 
-def _divergence(p: float, q: float) -> float:
-    """Of a coin that shows heads with chance p from one with chance q."""
-    return p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0.0)
+def _divergence(p: np.ndarray, q: float) -> np.ndarray:
+    """Of coins that show heads with chance p from one with chance q."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(p > 0, p * np.log(p / q), 0.0) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - q)), 0.0)
+
+
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, Callable[[int], str]]:
+    """(word, feature, name): which word has which feature, as in word_features, ascending by word; name gives a feature's text. Columns, since
+    stems of many different words as objects would take most of the driver's memory."""
+    column = pa.array(words, pa.string())
+    length, n = pc.utf8_length(column).to_numpy(), len(words)
+    of_word, of_feature, stems = [np.arange(n)], [np.arange(n)], []
+    for k in STEMS:
+        rows = np.flatnonzero(length > k)
+        coded = pc.utf8_slice_codeunits(column.take(pa.array(rows)), 0, k).dictionary_encode()
+        of_word.append(rows)
+        of_feature.append(coded.indices.to_numpy().astype(np.int64) + n)
+        stems.append((n, coded.dictionary))
+        n += len(coded.dictionary)
+
+    def name(f: int) -> str:
+        for first, texts in reversed(stems):
+            if f >= first:
+                return "^" + texts[f - first].as_py()
+        return words[f]
+
+    of_word, of_feature = np.concatenate(of_word), np.concatenate(of_feature)
+    order = np.argsort(of_word, kind="stable")
+    return of_word[order], of_feature[order], name
+
+
+def _documents_with(doc: np.ndarray, word: np.ndarray, fw: np.ndarray, ff: np.ndarray, y: np.ndarray, at_once: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """In how many documents, and in how many toxic ones, each feature occurs; (doc, word) are the different words of each document, by document."""
+    n = int(ff.max()) + 1
+    first = np.searchsorted(fw, np.arange(int(fw.max()) + 2))
+    holds, toxic_holds, a = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+    while a < len(doc):
+        b = int(np.searchsorted(doc, doc[min(a + at_once, len(doc)) - 1], "right"))  # whole documents
+        size = first[word[a:b] + 1] - first[word[a:b]]
+        which = np.repeat(first[word[a:b]] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        pairs = np.unique(np.repeat(doc[a:b].astype(np.int64), size) * n + ff[which])
+        holds += np.bincount(pairs % n, minlength=n)
+        toxic_holds += np.bincount(pairs[y[pairs // n]] % n, minlength=n)
+        a = b
+    return holds, toxic_holds
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 0.3, ridge: float = 0.1, strictness: float = 0.7, weight: list[float] | None = None) -> Model:
@@ -82,32 +126,30 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 0.3,
     """
     word_id: dict[str, int] = {}
     doc_of, sentence_of, words = (array("i") for _ in range(3))
-    doc_words: list[set[int]] = []
+    pairs_doc, pairs_word = array("i"), array("i")  # the different words of each document
     for d, t in enumerate(texts):
-        seen = set()
+        first = len(words)
         for m in SENTENCE.finditer(t):
             found = WORD.findall(m.group().lower())
             if found:
-                ids = [word_id.setdefault(w, len(word_id)) for w in found]
-                sentence_of.extend([len(doc_of)] * len(ids))
-                words.extend(ids)
+                words.extend([word_id.setdefault(w, len(word_id)) for w in found])
+                sentence_of.extend([len(doc_of)] * len(found))
                 doc_of.append(d)
-                seen.update(ids)
-        doc_words.append(seen)
+        own = np.unique(np.array(words[first:], np.int32))
+        pairs_doc.extend([d] * len(own))
+        pairs_word.extend(own.tolist())
     if not doc_of or not 0 < sum(toxic) < len(toxic):
         return Model()
-    own = [word_features(w) for w in word_id]
-    docs_with: dict[str, list[int]] = {}
-    for seen, y in zip(doc_words, toxic):
-        for f in {f for i in seen for f in own[i]}:
-            docs_with.setdefault(f, [0, 0])[y] += 1
-    base, need = sum(toxic) / len(toxic), strictness * math.log(1 + len(docs_with))
-    feature_id = {f: k for k, f in enumerate(f for f, (n, t) in docs_with.items() if t / (n + t) > base and (n + t) * _divergence(t / (n + t), base) > need)}
-    of = [(i, feature_id[f]) for i, fs in enumerate(own) for f in fs if f in feature_id]
-    fw, ff = (np.array(x, np.int64) for x in zip(*of)) if of else (np.zeros(0, np.int64),) * 2
-    words, sentence_of, doc_of = (np.frombuffer(x, np.int32) for x in (words, sentence_of, doc_of))
+    fw, ff, name = _features(list(word_id))
     y = np.array(toxic, bool)
-    n_docs, n_words, n_features, n_sentences = len(texts), len(own), len(feature_id), len(doc_of)
+    holds, toxic_holds = _documents_with(np.frombuffer(pairs_doc, np.int32), np.frombuffer(pairs_word, np.int32), fw, ff, y)
+    base, need = float(y.mean()), strictness * math.log(1 + len(holds))
+    chosen = np.flatnonzero((toxic_holds > base * holds) & (holds * _divergence(toxic_holds / holds, base) > need))
+    place = np.full(len(holds), -1)
+    place[chosen] = np.arange(len(chosen))
+    fw, ff = fw[place[ff] >= 0], place[ff[place[ff] >= 0]]
+    words, sentence_of, doc_of = (np.frombuffer(x, np.int32) for x in (words, sentence_of, doc_of))
+    n_docs, n_words, n_features, n_sentences = len(texts), len(word_id), len(chosen), len(doc_of)
     of_doc = np.ones(n_docs) if weight is None else np.array(weight, float) * (n_docs / sum(weight))
     share, per_doc = float(of_doc[y].sum()) / n_docs, float(of_doc[doc_of].sum()) / n_docs
     w, b = np.zeros(n_features), math.log(share / max(1.0, per_doc))
@@ -122,8 +164,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 80, rate: float = 0.3,
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         step = rate * (m1 / (1 - 0.9**r)) / (np.sqrt(m2 / (1 - 0.999**r)) + 1e-7)
         w, b = w - step[:-1], b - step[-1]
-    names = list(feature_id)
-    return Model({names[k]: float(round(w[k], 4)) for k in np.flatnonzero(np.abs(w) > 1e-3)}, float(b))
+    return Model({name(int(chosen[k])): float(round(w[k], 4)) for k in np.flatnonzero(np.abs(w) > 1e-3)}, float(b))
 
 
 def fold(doc_id: str = "doc_id") -> Column:
