@@ -148,14 +148,14 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return index.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
     """(doc_id, h, fp, component_id): one row per input row; h is a 64-bit hash of the text, component_id the smallest id reachable.
 
     Documents of equal fingerprints are one node, so copies are never expanded into pairs. Rows with a null id keep their
     row and take part in links; the smallest id leaves them out, and is null only where a component has no id at all.
     Empty and null texts have fingerprint 0 and link like others. Repeated rows each get a row.
     """
-    docs = written(fingerprints(df, id_col, text_col), "fingerprints")
+    docs = written(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     nodes = written(docs.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     stars = star_forest(fingerprint_links(nodes.select("fp"), radius))
     roots = stars.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct()
@@ -166,12 +166,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(of, "fp", "left").select("doc_id", "h", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
     """df with one row of each near-duplicate group: the one of the smallest id; among rows that repeat this id, of the smallest text hash.
 
     Rows of a group without any id: the one of the smallest text hash.
     """
-    found = near_duplicates(df, id_col, text_col, radius)
+    found = near_duplicates(df, id_col, text_col, radius, shingle)
     best = found.groupBy(F.coalesce("component_id", F.lit(-1)).alias("c"), F.col("component_id").isNull().alias("none"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f"))
     best = best.agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("h"))).alias("keep_h"), F.first("component_id").alias("keep_id")).select("keep_id", "keep_h")
     # df's columns are carried in a struct by their place, so that no name of theirs can clash
