@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -48,14 +50,28 @@ def word_strings(span: int = 50, reach: int = 38, strides: tuple[int, ...] = (6,
     return Measure("word", span, reach, strides)
 
 
+_hash = xxhash.xxh3_64_intdigest
 _LONG = 64
 _POWERS = np.cumprod(np.r_[1, np.full(_LONG - 1, 0x9E3779B97F4A7C15, np.uint64)].astype(np.uint64), dtype=np.uint64)
 _BLANK = np.zeros(256, bool)
 _BLANK[list(SEPARATORS)] = True
+_SEPARATOR = re.compile(b"[" + SEPARATORS + b"]")
+
+
+def words(raw: bytes, at_once: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of raw: its longest runs without separators. at_once: bytes (and what a word needs more) in arrays at a time."""
+    found, at = [], 0
+    while at < len(raw) or not found:
+        end = len(raw)
+        if at + at_once < end and (m := _SEPARATOR.search(raw, at + at_once)):
+            end = m.start()
+        starts, ends, h = _words(raw[at:end])
+        found.append((starts + at, ends + at, h))
+        at = end
+    return tuple(map(np.concatenate, zip(*found)))
 
 
-def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes) of the words of raw: its longest runs without separators."""
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(raw, np.uint8)
     on = np.r_[False, ~_BLANK[data], False]
     edges = np.flatnonzero(on[1:] != on[:-1])
@@ -63,13 +79,15 @@ def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
     size = ends - starts
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    terms = (data[on[1:-1]].astype(np.uint64) + np.uint64(1)) * _POWERS[np.minimum(place, _LONG - 1)]
-    h = np.add.reduceat(terms, np.cumsum(size) - size)
+    short = np.minimum(size, _LONG)  # longer words are hashed below
+    first = np.cumsum(short) - short
+    place = np.arange(int(short.sum())) - np.repeat(first, short)
+    terms = (data[np.repeat(starts, short) + place].astype(np.uint64) + np.uint64(1)) * _POWERS[place]
+    h = np.add.reduceat(terms, first)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     for k in np.flatnonzero(size > _LONG).tolist():
-        h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+        h[k] = _hash(raw[starts[k] : ends[k]])
     return starts, ends, h
 
 
@@ -138,9 +156,6 @@ def _slices(sizes: list[int], most: int = 1 << 20):
     yield a, len(sizes)
 
 
-_hash = xxhash.xxh3_64_intdigest
-
-
 def _hashes(buffer: bytes, a: np.ndarray, b: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return np.fromiter((_hash(buffer[x:y], s) for x, y, s in zip(a.tolist(), b.tolist(), seed.tolist())), np.uint64, len(a)).view(np.int64)
 
@@ -203,7 +218,7 @@ def _strings(contexts: DataFrame, measures: Sequence[Measure], step: int) -> Dat
 
 
 def _string_batch(cols: list[list]) -> pa.RecordBatch:
-    hashed = [np.array(x, np.uint64).view(np.int64) for x in cols[5:]]
+    hashed = [np.frombuffer(array("Q", x), np.int64) for x in cols[5:]]
     return batch(_STRINGS, *cols[:5], *hashed)
 
 

@@ -92,6 +92,8 @@ def test_words_are_known_by_their_bytes():
     of = {}
     for t in texts:
         starts, ends, h = suffix.words(t)
+        for at_once in (1, 7, 1000):
+            assert all(np.array_equal(x, y) for x, y in zip(suffix.words(t, at_once), (starts, ends, h)))
         assert [t[a:b] for a, b in zip(starts, ends)] == re.findall(rb"[^\x20\x09-\x0d]+", t)
         for a, b, x in zip(starts, ends, h.tolist()):
             assert of.setdefault(t[a:b], x) == x
