@@ -6,6 +6,7 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import cache
 from itertools import chain
@@ -205,7 +206,7 @@ class Pieces:
         ids, ends = [], np.zeros(0, np.int32)
         if norm and self.by_chunk:
             ids = list(chain.from_iterable(self.merge.encode(self.chunk.findall(norm), num_threads=1)))
-            flat = np.array(ids, np.int32)
+            flat = np.frombuffer(array("i", ids), np.int32)
             at = np.cumsum(self.size[flat])
             if at[-1] == len(begin) - 1 and not self.unknown[flat].any():  # pieces lie end to end in the normalised text
                 ends = begin[at]
@@ -213,7 +214,8 @@ class Pieces:
             spans = self._spans(norm, begin)
             ids, ends = [s[0] for s in spans], np.array([s[2] for s in spans])
         back = self.library.decode(ids) if ids else ""
-        joined = ",".join(map(self.names.__getitem__, ids))
+        names = self.names
+        joined = ",".join([names[i] for i in ids])
         return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), zlib.crc32(ends.astype("<u4").tobytes())
 
 
