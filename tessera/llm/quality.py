@@ -13,13 +13,14 @@ from tessera.llm.common import class_weights, let, numbered, sample_ids
 
 #: What separates words, and the characters that count as symbols.
 BLANKS, SYMBOLS = r"\x20\x09-\x0D", "#*$%&|<>"
-#: What a decision list may ask for, each from the counts of one text.
+#: What a decision list may ask for, each from the counts of one text. Null without words: a share that a list asks for twice is computed
+#: before the tests around it, also for rows that they leave out, and in ANSI mode a division by zero is an error.
 FEATURES = {
     "n_words": "cast(n_words as double)",
-    "word_length": "word_chars / n_words",
-    "symbols_per_word": "n_symbols / n_words",
-    "dup_lines_per_word": "n_dup_lines / n_words",
-    "repeat_share": "n_repeat_words / n_words",
+    "word_length": "word_chars / nullif(n_words, 0)",
+    "symbols_per_word": "n_symbols / nullif(n_words, 0)",
+    "dup_lines_per_word": "n_dup_lines / nullif(n_words, 0)",
+    "repeat_share": "n_repeat_words / nullif(n_words, 0)",
 }
 
 
