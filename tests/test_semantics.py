@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graphs, grouping, intervals, rows
 from tessera.sources import readers
+from tessera.streaming import replay
 
 
 @pytest.fixture(scope="module")
@@ -169,3 +170,14 @@ def test_jdbc_ranges_cover_the_whole_range(spark):
     for parts in (1, 3, 50):
         df = readers.jdbc_ranges(spark, url, 'SELECT "id" FROM numbers WHERE "id" >= ? AND "id" <= ?', 5, 17, parts, driver=driver)
         assert sorted(r[0] for r in df.collect()) == list(range(5, 18))
+
+
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_results_of_streams_are_files_not_rows_in_the_driver(spark, mode):
+    t = spark.range(90).select("id", (F.col("id") % 4).alias("k"))
+    stream = replay.staged(t, 3, "id")
+    out = replay.finished(stream if mode == "append" else stream.groupBy("k").agg(F.count("*").alias("n")), mode)
+    assert out.inputFiles()
+    assert got(out) == got(t if mode == "append" else t.groupBy("k").agg(F.count("*").alias("n")))
+    none = replay.finished(replay.staged(t.limit(0), 3, "id"))
+    assert (none.columns, none.count()) == (["id", "k"], 0)
