@@ -17,7 +17,6 @@ from tessera.sources import readers
 from tessera.sources.tables import table, views
 from tessera.streaming import replay
 
-_DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
 
 def plan_metrics(df: DataFrame, metric: str = "numOutputRows") -> list[tuple[str, int]]:
@@ -194,9 +193,9 @@ def job_status(spark: SparkSession, d: str) -> DataFrame:
 def jdbc_dialect(spark: SparkSession, d: str) -> DataFrame:
     """Types that the database has other names or bounds for: long texts, booleans, small numbers, decimals of more digits than it knows."""
     t = table(spark, d, "supplier").select("s_suppkey", "s_name", (F.col("s_acctbal") < 0).alias("in_debt"), F.round("s_acctbal", 2).cast("decimal(38,18)").alias("exact"), F.col("s_nationkey").cast("byte").alias("small"))
-    url = "jdbc:derby:memory:dialect;create=true"
-    readers.write_jdbc(t.coalesce(1), url, "supplier_types", mode="overwrite", driver=_DERBY)
-    back = readers.jdbc(spark, url, "supplier_types", driver=_DERBY)
+    base = readers.Embedded(spark, "dialect")
+    base.write(t.coalesce(1), "supplier_types")
+    back = readers.jdbc(spark, base.published(), "supplier_types", driver=readers.DERBY)
     kinds = {c.lower(): k for c, k in back.dtypes}
     assert (kinds["s_name"], kinds["in_debt"], kinds["exact"]) == ("string", "boolean", "decimal(31,11)"), kinds
     return back.toDF(*[c.lower() for c in back.columns])
@@ -205,9 +204,9 @@ def jdbc_dialect(spark: SparkSession, d: str) -> DataFrame:
 @query("s37_jdbc_ranges", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey BETWEEN 3 AND 21")
 def jdbc_ranges(spark: SparkSession, d: str) -> DataFrame:
     """A statement with a place for each end of a range, which is run for each of several parts of the whole range."""
-    url = "jdbc:derby:memory:ranges;create=true"
-    readers.write_jdbc(table(spark, d, "nation").coalesce(1), url, "nation", mode="overwrite", driver=_DERBY)
-    df = readers.jdbc_ranges(spark, url, 'SELECT "n_nationkey", "n_name" FROM nation WHERE "n_nationkey" >= ? AND "n_nationkey" <= ?', 3, 21, 4, driver=_DERBY)
+    base = readers.Embedded(spark, "ranges")
+    base.write(table(spark, d, "nation").coalesce(1), "nation")
+    df = readers.jdbc_ranges(spark, base.published(), 'SELECT "n_nationkey", "n_name" FROM nation WHERE "n_nationkey" >= ? AND "n_nationkey" <= ?', 3, 21, 4, driver=readers.DERBY)
     return df.toDF(*[c.lower() for c in df.columns])
 
 

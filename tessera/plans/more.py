@@ -14,15 +14,14 @@ from tessera.sources import readers
 from tessera.sources.tables import table
 from tessera.streaming import replay, state
 
-_DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 _NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 
 
-def _database(spark: SparkSession, d: str, name: str) -> str:
-    """nation in an embedded database in memory."""
-    url = f"jdbc:derby:memory:{name};create=true"
-    readers.write_jdbc(table(spark, d, "nation").coalesce(1), url, "nation", mode="overwrite", driver=_DERBY)
-    return url
+def _database(spark: SparkSession, d: str, name: str) -> readers.Embedded:
+    """nation in an embedded database."""
+    out = readers.Embedded(spark, name)
+    out.write(table(spark, d, "nation").coalesce(1), "nation")
+    return out
 
 
 def _lowered(df: DataFrame) -> DataFrame:
@@ -31,21 +30,21 @@ def _lowered(df: DataFrame) -> DataFrame:
 
 @query("s11_jdbc_strides", _NATION)
 def jdbc_strides(spark: SparkSession, d: str) -> DataFrame:
-    df = readers.jdbc(spark, _database(spark, d, "strides"), "nation", '"n_nationkey"', 0, 25, 4, driver=_DERBY)
+    df = readers.jdbc(spark, _database(spark, d, "strides").published(), "nation", '"n_nationkey"', 0, 25, 4, driver=readers.DERBY)
     return _lowered(df)
 
 
 @query("s12_jdbc_predicates", f"{_NATION} WHERE n_regionkey IN (1, 3)")
 def jdbc_predicates(spark: SparkSession, d: str) -> DataFrame:
-    url = _database(spark, d, "predicates")
-    return _lowered(spark.read.jdbc(url, "nation", predicates=['"n_regionkey" = 1', '"n_regionkey" = 3'], properties={"driver": _DERBY}))
+    url = _database(spark, d, "predicates").published()
+    return _lowered(spark.read.jdbc(url, "nation", predicates=['"n_regionkey" = 1', '"n_regionkey" = 3'], properties={"driver": readers.DERBY}))
 
 
 @query("s13_jdbc_append", f"{_NATION} UNION ALL {_NATION}")
 def jdbc_append(spark: SparkSession, d: str) -> DataFrame:
-    url = _database(spark, d, "appended")
-    readers.write_jdbc(table(spark, d, "nation").coalesce(1), url, "nation", mode="append", driver=_DERBY)
-    return _lowered(readers.jdbc(spark, url, "nation", driver=_DERBY))
+    base = _database(spark, d, "appended")
+    base.write(table(spark, d, "nation").coalesce(1), "nation", mode="append")
+    return _lowered(readers.jdbc(spark, base.published(), "nation", driver=readers.DERBY))
 
 
 @query("s20_filter_algebra", "SELECT p_partkey FROM part WHERE (p_size = 3 OR p_size > 40) AND NOT p_name LIKE 'a%' AND p_brand IS NOT NULL AND p_size IN (3, 41, 42, 43) AND p_brand LIKE '%1%'")
