@@ -105,3 +105,19 @@ def nan_moments(kind: str, col: str) -> Column:
     c = F.col(col)
     plain = {"stddev": F.stddev_samp, "variance": F.var_samp, "skewness": F.skewness, "kurtosis": F.kurtosis}[kind](c)
     return F.when(F.count(c) > 0, F.coalesce(plain, F.lit(float("nan"))))
+
+
+def numeric_histogram(df: DataFrame, keys: Sequence[str], col: str, bins: int) -> DataFrame:
+    """(keys..., x, y): at most bins bins a group, x their mean value (in col's type) and y their rows; exact while a group has no more values than bins.
+
+    histogram_numeric joins the partial histograms of two tasks by putting their bins side by side, so that a value has several bins while there is
+    room. Here equal values are counted first, map-side; the bins are made from each group's different values in one task, and a value
+    counts in the nearest bin. Nulls are a bin of their own, null keys a group.
+    """
+    values = df.groupBy(*keys, F.col(col).alias("x")).agg(F.count("*").alias("n")).repartition(*keys)
+    g = values.groupBy(*keys).agg(F.histogram_numeric("x", F.lit(bins)).alias("h"), F.collect_list(F.struct(F.col("x").cast("double").alias("v"), "x", "n")).alias("l"))
+    near = F.expr("if(e.v is null, null, array_min(transform(h, b -> struct(abs(b.x - e.v) as far, b.x as x))).x)")
+    each = g.select(*keys, "h", F.explode("l").alias("e")).select(*keys, near.alias("c"), "e")
+    mean = F.sum(F.col("e.v") * F.col("e.n")) / F.sum("e.n")
+    one = F.count("*") == 1
+    return each.groupBy(*keys, "c").agg(F.when(one, F.first("e.x")).otherwise(mean.cast(dict(df.dtypes)[col])).alias("x"), F.sum("e.n").alias("y")).select(*keys, "x", "y")

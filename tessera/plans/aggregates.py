@@ -107,7 +107,11 @@ def collect(spark: SparkSession, d: str) -> DataFrame:
 sql_query("a28_covariance", "lineitem", "SELECT round(covar_pop(l_quantity, l_tax), 6) AS p, round(covar_samp(l_quantity, l_tax), 6) AS s FROM lineitem")
 sql_query("a29_percentile", "lineitem", "SELECT l_returnflag, percentile(l_quantity, 0.5) AS m, round(percentile(l_extendedprice, 0.9), 4) AS p FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS m, round(quantile_cont(l_extendedprice, 0.9), 4) AS p FROM lineitem GROUP BY l_returnflag")
 sql_query("a29_percentile_approx", "lineitem", "SELECT l_returnflag, percentile_approx(l_quantity, 0.5, 100000) AS m, percentile_approx(l_extendedprice, 0.25, 10000000) AS p FROM lineitem GROUP BY 1", "SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS m, quantile_disc(l_extendedprice, 0.25) AS p FROM lineitem GROUP BY 1")
-sql_query("a30_histogram_numeric", "lineitem", "SELECT l_returnflag, b.x AS x, CAST(b.y AS BIGINT) AS y FROM (SELECT l_returnflag, explode(histogram_numeric(l_linenumber, 20)) AS b FROM lineitem GROUP BY 1)", "SELECT l_returnflag, l_linenumber AS x, count(*) AS y FROM lineitem GROUP BY 1, 2")
+
+
+@query("a30_histogram_numeric", "SELECT l_returnflag, l_linenumber AS x, count(*) AS y FROM lineitem GROUP BY 1, 2")
+def histogram_numeric(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.numeric_histogram(table(spark, d, "lineitem"), ["l_returnflag"], "l_linenumber", 20)
 
 
 @query("a31_ngrams", "WITH w AS (SELECT n_nationkey, string_split(replace(n_name || ' of the ' || n_name, '_', 'x'), ' ') AS a FROM nation) SELECT a[i] || ' ' || a[i+1] AS g, count(*) AS frequency FROM w, range(1, 20) r(i) WHERE i < len(a) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")

@@ -1,12 +1,17 @@
 """Literal rows: small tables whose results are known."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import registry
 from tessera.operators import graphs, grouping, intervals, rows
 from tessera.sources import readers
 from tessera.streaming import replay
 
+registry.load_plans()
+
 
 @pytest.fixture(scope="module")
 def harvest(spark):
@@ -181,3 +186,20 @@ def test_results_of_streams_are_files_not_rows_in_the_driver(spark, mode):
     assert got(out) == got(t if mode == "append" else t.groupBy("k").agg(F.count("*").alias("n")))
     none = replay.finished(replay.staged(t.limit(0), 3, "id"))
     assert (none.columns, none.count()) == (["id", "k"], 0)
+
+
+def test_numeric_histogram_over_partitions(spark):
+    t = spark.range(4000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 11 > 0, (F.col("id") % 7).cast("int")).alias("x")).repartition(9)
+    assert got(grouping.numeric_histogram(t, ["k"], "x", 20)) == got(t.groupBy("k", "x").agg(F.count("*")))
+    wide = spark.range(5000).select(F.lit(1).alias("k"), (F.col("id") % 500).cast("double").alias("x")).repartition(7)
+    found = grouping.numeric_histogram(wide, ["k"], "x", 20).collect()
+    assert len(found) <= 20 and sum(r.y for r in found) == 5000 and sum(r.x * r.y for r in found) == pytest.approx(5000 * 249.5)
+
+
+def test_document_frequencies_of_every_word(spark, tmp_path):
+    """More words than a million, one in all documents; a repeated id is one document."""
+    words = F.concat_ws(" ", F.lit("ALL"), F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: F.concat(F.lit("w"), F.col("id") * 1000 + k)))
+    t = spark.range(1100).select(F.col("id").alias("doc_id"), words.alias("text"))
+    t.union(t.filter("doc_id = 5")).write.parquet(f"{tmp_path}/documents.parquet")
+    r = registry.QUERIES["m02_text_features"](spark, str(tmp_path)).groupBy("idf").agg(F.count("*").alias("n"), F.min("term").alias("a")).orderBy("n").collect()
+    assert [(x.n, x.idf) for x in r] == [(1, round(math.log(1102 / 1101), 9)), (1_100_000, round(math.log(1102 / 2), 9))] and r[0].a == "all"
