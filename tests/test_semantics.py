@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import registry
 from tessera.operators import graphs, grouping, intervals, rows
+from tessera.plans import engine
 from tessera.sources import readers
 from tessera.streaming import replay
 
@@ -203,3 +204,16 @@ def test_document_frequencies_of_every_word(spark, tmp_path):
     t.union(t.filter("doc_id = 5")).write.parquet(f"{tmp_path}/documents.parquet")
     r = registry.QUERIES["m02_text_features"](spark, str(tmp_path)).groupBy("idf").agg(F.count("*").alias("n"), F.min("term").alias("a")).orderBy("n").collect()
     assert [(x.n, x.idf) for x in r] == [(1, round(math.log(1102 / 1101), 9)), (1_100_000, round(math.log(1102 / 2), 9))] and r[0].a == "all"
+
+
+def test_triangles_make_no_row_for_each_wedge(spark):
+    """A full graph of 60 vertices: every two edges of a vertex are a wedge, and no table or join has as many rows."""
+    t = spark.createDataFrame([(a, b) for a in range(60) for b in range(60)], "src long, dst long")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else finished stages hide their operators
+    try:
+        out = graphs.triangle_count(t)
+        most = max(n for kind, n in engine.plan_metrics(out) if "Join" in kind)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert most <= 60 * 59 // 2 and {r.triangles for r in out.collect()} == {59 * 58 // 2}
