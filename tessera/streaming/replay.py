@@ -11,14 +11,20 @@ from tessera.operators.lineage import scratch
 
 
 def staged(df: DataFrame, batches: int, order: str) -> DataFrame:
-    """A stream of df's rows in batches micro-batches: row groups of ascending order, one file each."""
+    """A stream of df's rows in batches micro-batches of ascending order, as many files each: one for each task of the scan, or for each core if there are more.
+
+    A batch with rows in fewer tasks is filled up with empty files, so that a trigger's files are one batch's, all of it.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, "stream")
     low, high = df.select(F.col(order).cast("double").alias("x")).agg(F.min("x"), F.max("x")).first()
     place = F.lit(0) if low is None or low == high else F.least(F.floor((F.col(order).cast("double") - low) / (high - low) * batches), F.lit(batches - 1))
     parts = df.withColumn("_part", place.cast("int"))
+    files = max(1, min(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
     for k in range(batches):
-        parts.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        parts.filter(F.col("_part") == k).drop("_part").coalesce(files).write.mode("append").parquet(path)
+        for _ in range((k + 1) * files - len(spark.read.schema(df.schema).parquet(path).inputFiles())):
+            df.filter(F.lit(False)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:

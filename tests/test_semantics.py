@@ -217,3 +217,15 @@ def test_triangles_make_no_row_for_each_wedge(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert most <= 60 * 59 // 2 and {r.triangles for r in out.collect()} == {59 * 58 // 2}
+
+
+def test_staged_batches_are_written_by_several_tasks(spark, tmp_path):
+    """Every task writes its part of a batch, and a trigger gets one batch whole, also where only one task has rows of it or none has."""
+    for name, t, sizes in (("even", spark.range(900).repartition(3), [300, 300, 300]), ("ordered", spark.range(0, 900, 1, 3), [300, 300, 300]), ("gap", spark.range(0, 900, 1, 3).filter("id < 300 or id >= 600"), [300, 0, 300])):
+        t.write.parquet(f"{tmp_path}/{name}")
+        seen, q = [], replay.staged(spark.read.parquet(f"{tmp_path}/{name}"), 3, "id").select("id", F.input_file_name().alias("f"))
+        q = q.writeStream.foreachBatch(lambda b, _, seen=seen: seen.append([(r.id, r.f) for r in b.collect()])).option("checkpointLocation", f"{tmp_path}/{name}-at").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert [len(b) for b in seen] == sizes and sorted(i for b in seen for i, _ in b) == sorted(r.id for r in spark.read.parquet(f"{tmp_path}/{name}").collect())
+        assert all(a[0] < b[0] for x, y in zip(seen, seen[1:]) for a in x for b in y)
+        assert name != "even" or all(len({f for _, f in b}) > 1 for b in seen)
