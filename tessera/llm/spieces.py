@@ -6,10 +6,10 @@ import hashlib
 import re
 import struct
 import zlib
-from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import batch, bounded_batches, numbered
 
 SPACE = "▁"
+#: Characters of texts that go to the library in one call.
+TOGETHER = 1 << 17
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -178,7 +180,7 @@ class Pieces:
         kind = [p.get(3, 1) for p in names]
         self.size = np.array([1 if k == 6 else len(t.encode()) for t, k in zip(text, kind)], np.int64)
         self.unknown = np.array([k == 2 for k in kind])
-        self.names = [str(i) for i in range(len(text))]
+        self.names = np.array([f"{i}," for i in range(len(text))], "S")
         n = self.normalizer
         # if no piece has a mark behind another character, no merge crosses such a place
         self.by_chunk = n.escape and not n.suffix and trainer.get(3, 1) == 2 and not any(re.search(f"[^{SPACE}]{SPACE}", t) for t in text)
@@ -202,21 +204,39 @@ class Pieces:
 
         Every text is normalised with its alignment, its pieces' ends are projected through it, and its ids are decoded by the library.
         """
-        norm, begin = self.normalizer.normalize(text)
-        ids, ends = [], np.zeros(0, np.int32)
-        if norm and self.by_chunk:
-            ids = list(chain.from_iterable(self.merge.encode(self.chunk.findall(norm), num_threads=1)))
-            flat = np.frombuffer(array("i", ids), np.int32)
-            at = np.cumsum(self.size[flat])
-            if at[-1] == len(begin) - 1 and not self.unknown[flat].any():  # pieces lie end to end in the normalised text
-                ends = begin[at]
-        if norm and not len(ends):  # unknown pieces have no size of their own
-            spans = self._spans(norm, begin)
-            ids, ends = [s[0] for s in spans], np.array([s[2] for s in spans])
-        back = self.library.decode(ids) if ids else ""
-        names = self.names
-        joined = ",".join([names[i] for i in ids])
-        return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), zlib.crc32(ends.astype("<u4").tobytes())
+        return next(self.digests([text]))
+
+    def digests(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str, int]]:
+        """digest() of each text. Texts go to the library together, TOGETHER characters or a longer text at a time: each call starts a thread."""
+        some, size = [], 0
+        for t in texts:
+            some.append(self.normalizer.normalize(t))
+            size += len(t)
+            if size >= TOGETHER:
+                yield from self._digests(some)
+                some, size = [], 0
+        yield from self._digests(some)
+
+    def _digests(self, texts: list[tuple[str, np.ndarray]]) -> Iterator[tuple[int, str, str, int]]:
+        chunks = [self.chunk.findall(norm) if self.by_chunk else [] for norm, _ in texts]
+        merged = iter(self.merge.encode(list(chain.from_iterable(chunks)), num_threads=1, return_type="numpy"))
+        found = []
+        for (norm, begin), parts in zip(texts, chunks):
+            ids = ends = np.zeros(0, np.int32)
+            if parts:
+                flat = np.concatenate(list(islice(merged, len(parts))))
+                at = np.cumsum(self.size[flat])
+                if at[-1] == len(begin) - 1 and not self.unknown[flat].any():  # pieces lie end to end in the normalised text
+                    ids, ends = flat, begin[at]
+            if norm and not len(ends):  # unknown pieces have no size of their own
+                spans = self._spans(norm, begin)
+                ids, ends = np.array([s[0] for s in spans], np.int32), np.array([s[2] for s in spans])
+            found.append((ids, ends))
+        decoded = iter(self.library.decode([ids for ids, _ in found if len(ids)], num_threads=1))
+        for ids, ends in found:
+            back = next(decoded) if len(ids) else ""
+            joined = self.names[ids].tobytes().translate(None, b"\0")[:-1]
+            yield len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), zlib.crc32(ends.astype("<u4").tobytes())
 
 
 @cache
@@ -263,7 +283,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     def run(batches):
         m = model(path)
         for b in batches:
-            out = [m.digest(t.as_py() or "") for t in b.column(1)]
+            out = list(m.digests(t.as_py() or "" for t in b.column(1)))
             yield batch(schema, b.column(0), *(zip(*out) if out else ([],) * 4))
 
     rows = df.select(numbered(id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -131,3 +131,13 @@ def test_frames(spark, column):
     back = spieces.decode(enc.selectExpr("doc_id", "transform(pieces, x -> x.id) ids"))
     assert sorted(map(str, [(r.doc_id, r.text) for r in back.collect()])) == sorted(map(str, [(i, LIBRARY.decode(LIBRARY.encode(t)) if t else "") for i, t in rows]))
     assert spieces.round_trip(df.limit(0)).count() == 0
+
+
+def test_texts_go_to_the_library_together(monkeypatch):
+    m, calls = spieces.Pieces(PATH), []
+    texts = ["", "a b", "lorem ipsum " * 50, "", "日本 é"] * 40 + ["foo bar " * 20_000, " "]
+    alone = [m.digest(t) for t in texts]
+    for name, of in (("encode", m.merge), ("decode", m.library)):
+        monkeypatch.setattr(of, name, lambda x, *a, f=getattr(of, name), n=name, **b: calls.append(n) or f(x, *a, **b))
+    assert list(m.digests(texts)) == alone and [a[:3] for a in alone] == [reference(t)[1] for t in texts]
+    assert calls.count("encode") == 2 and list(m.digests([])) == []
