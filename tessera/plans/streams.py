@@ -14,8 +14,8 @@ from tessera.streaming import replay, state
 BATCHES = 3
 
 
-def events(spark: SparkSession, d: str, batches: int = BATCHES) -> DataFrame:
-    t = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+def events(spark: SparkSession, d: str, batches: int = BATCHES, columns: str = "event_id ts user_id event_type value") -> DataFrame:
+    t = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(*columns.split())
     return replay.staged(t, batches, "ts")
 
 
@@ -98,8 +98,14 @@ def map_with_state(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t20_session_windows", "SELECT user_id, count(*) AS sessions, sum(n) AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS g FROM events)) GROUP BY 1, 2) GROUP BY 1")
 def sessions(spark: SparkSession, d: str) -> DataFrame:
-    g = events(spark, d).groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n"))
-    return replay.finished(g, "complete").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
+    run = state.Sessions("user_id", "ts", 2 * 3600)
+    e = events(spark, d, columns="user_id ts")
+    q = e.writeStream.foreachBatch(run).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    found = run.sessions(spark)
+    if found is None:
+        found = spark.createDataFrame([], "user_id long, n long")
+    return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
 @query("t20_deduplicate", "SELECT count(DISTINCT event_type) AS n FROM events")

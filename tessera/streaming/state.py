@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -58,3 +60,39 @@ class UpdateStateByKey:
 
     def snapshot(self, spark) -> DataFrame:
         return spark.read.parquet(self.path)
+
+
+class Sessions:
+    """Session windows over batches that come in order of time, as foreachBatch's function: rows of a key less than gap seconds apart are one session.
+
+    Each batch's sessions are written once, as (key, last: time of the last row, n: rows), by the executors into the shared folder. Those that a
+    later batch may extend go into the next batch as one row each, and count there; all others are never touched again.
+    """
+
+    def __init__(self, key: str, time: str, gap: int):
+        self.key, self.time, self.gap, self.path, self.batches = key, time, gap, None, {}
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        from tessera.operators.lineage import scratch
+
+        spark = batch.sparkSession
+        self.path = self.path or scratch(spark, "sessions")
+        rows = batch.select(self.key, F.col(self.time).alias("last"), F.lit(1).cast("long").alias("n"))
+        if before := [k for k in self.batches if k < number]:
+            rows = rows.union(self._written(spark, max(before), True))
+        # session_window also joins what is exactly its gap apart
+        found = rows.groupBy(self.key, F.session_window("last", f"{self.gap - 1}.999999 seconds")).agg(F.max("last").alias("last"), F.sum("n").alias("n"))
+        found.drop("session_window").write.mode("overwrite").parquet(f"{self.path}/{number}")
+        self.batches[number] = rows.schema, None
+        self.batches[number] = rows.schema, self._written(spark, number).agg(F.unix_micros(F.max("last"))).first()[0]
+
+    def _written(self, spark, number: int, still_open: bool | None = None) -> DataFrame:
+        schema, high = self.batches[number]
+        out = spark.read.schema(schema).parquet(f"{self.path}/{number}")
+        ahead = F.unix_micros("last") + self.gap * 1_000_000 >= F.lit(high)
+        return out if still_open is None else out.filter(ahead if still_open else ~ahead)
+
+    def sessions(self, spark) -> DataFrame | None:
+        """All sessions after the last batch; None where there was no batch."""
+        last = max(self.batches, default=None)
+        return functools.reduce(DataFrame.union, [self._written(spark, k, None if k == last else False) for k in self.batches]) if self.batches else None

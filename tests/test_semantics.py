@@ -229,3 +229,21 @@ def test_staged_batches_are_written_by_several_tasks(spark, tmp_path):
         assert [len(b) for b in seen] == sizes and sorted(i for b in seen for i, _ in b) == sorted(r.id for r in spark.read.parquet(f"{tmp_path}/{name}").collect())
         assert all(a[0] < b[0] for x, y in zip(seen, seen[1:]) for a in x for b in y)
         assert name != "even" or all(len({f for _, f in b}) > 1 for b in seen)
+
+
+def test_sessions_go_on_over_batches_and_end_at_the_gap(spark, tmp_path):
+    hours = {
+        1: [k * 1.5 for k in range(40)],  # one session through all batches
+        2: [0, 2, 4, 6 - 1e-6 / 3600, 59],  # two hours are a gap, a microsecond less is none
+        3: [19.9, 20.1, 39.9, 40.1],  # at the ends of batches
+        4: [30, 30, 30],
+        None: [1, 2, 50],
+    }
+    rows = [(u, round(h * 3_600_000_000)) for u, hs in hours.items() for h in hs]
+    df = spark.createDataFrame([(i, u, t) for i, (u, t) in enumerate(rows)], "event_id long, user_id long, t long")
+    df = df.select("event_id", F.timestamp_micros(F.col("t") + 1_700_000_000_000_000).cast("timestamp_ntz").alias("ts"), "user_id", F.lit("click").alias("event_type"), F.lit(1.0).alias("value"))
+    df.repartition(3).write.parquet(f"{tmp_path}/some/events.parquet")
+    df.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+    run = registry.QUERIES["t20_session_windows"]
+    assert got(run(spark, f"{tmp_path}/some")) == sorted([(1, 1, 40), (2, 4, 5), (3, 2, 4), (4, 1, 3), (None, 2, 3)], key=str)
+    assert got(run(spark, f"{tmp_path}/none")) == []
