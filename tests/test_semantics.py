@@ -247,3 +247,16 @@ def test_sessions_go_on_over_batches_and_end_at_the_gap(spark, tmp_path):
     run = registry.QUERIES["t20_session_windows"]
     assert got(run(spark, f"{tmp_path}/some")) == sorted([(1, 1, 40), (2, 4, 5), (3, 2, 4), (4, 1, 3), (None, 2, 3)], key=str)
     assert got(run(spark, f"{tmp_path}/none")) == []
+
+
+def test_all_pairs_of_a_name_take_little_room(spark, tmp_path):
+    names = spark.range(3001).selectExpr("id * 7919 % 100003 AS p_partkey", "if(id = 3000, 'other', 'part') AS p_name")
+    odd = spark.createDataFrame([(7, "x"), (7, "x"), (None, "x"), (8, None), (9, "")], "p_partkey long, p_name string")
+    for name, df in (("many", names), ("odd", odd)):
+        df.write.parquet(f"{tmp_path}/{name}/part.parquet")
+    run = registry.QUERIES["j16_binary_key"]
+    assert got(run(spark, f"{tmp_path}/odd")) == sorted([(7, 7)] * 4 + [(7, None), (None, 7)] * 2 + [(None, None), (9, 9)], key=str)
+    run(spark, f"{tmp_path}/many").write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    assert pairs.count() == pairs.distinct().count() == 9_000_001
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 2_000_000
